@@ -46,8 +46,7 @@ def compare(df, sql: str, folder: str) -> str:
     a, b = sorted_rows(df.columns, got), sorted_rows(columns, want)
     if a == b:
         return "" if a else "both empty"
-    only_a = [r for r in a if r not in set(b)][:3] if len(a) < 50000 else []
-    only_b = [r for r in b if r not in set(a)][:3] if len(a) < 50000 else []
+    only_a, only_b = sorted(set(a) - set(b), key=repr)[:3], sorted(set(b) - set(a), key=repr)[:3]
     return f"rows {len(a)} vs {len(b)}\n   spark {only_a}\n   duck  {only_b}"
 
 

@@ -8,9 +8,12 @@ unnest are written per engine.  ``{name}`` refers to a driver table or another i
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmine.session import cut_lineage
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -63,16 +66,18 @@ FROM {conversations} WHERE role = 'user'
 """
 
 # Every document goes into the basket of one conversation; its user turns ask over it.
+PORTABLE["dealt_pages"] = """
+SELECT page_url, turn_no AS original_index, (doc_id + turn_no) % convs AS conv_id
+FROM (SELECT page_url, doc_id, convs, CAST(floor(doc_id / convs) AS BIGINT) AS turn_no
+      FROM (SELECT page_url, doc_id, (SELECT max(conv_id) + 1 FROM {conversations}) AS convs FROM {doc_pages}) a) b
+"""
 PORTABLE["turn_basket"] = """
-SELECT t.conv_id * 1000 + t.turn AS query_id, p.page_url,
-       CAST(floor(p.doc_id / n.convs) AS BIGINT) AS original_index,
-       CASE WHEN t.conv_id % 4 = 1 AND floor(p.doc_id / n.convs) = 0 THEN 'compare_anchor'
+SELECT t.conv_id * 1000 + t.turn AS query_id, p.page_url, p.original_index,
+       CASE WHEN t.conv_id % 4 = 1 AND p.original_index = 0 THEN 'compare_anchor'
             WHEN t.conv_id % 4 = 1 THEN 'reference_context'
-            WHEN t.conv_id % 4 = 2 AND floor(p.doc_id / n.convs) = 0 THEN 'current_page'
+            WHEN t.conv_id % 4 = 2 AND p.original_index = 0 THEN 'current_page'
             ELSE 'default' END AS context_role
-FROM {conversations} t
-CROSS JOIN (SELECT max(conv_id) + 1 AS convs FROM {conversations}) n
-JOIN {doc_pages} p ON p.doc_id % n.convs = t.conv_id
+FROM {conversations} t JOIN {dealt_pages} p ON p.conv_id = t.conv_id
 WHERE t.role = 'user'
 """
 
@@ -198,6 +203,9 @@ SELECT p_partkey AS response_id, p_partkey % 10 AS kind, p_name, p_type, p_brand
          ELSE '- not - a suggestion, just a list about ' || p_name END AS text
 FROM {part}
 """
+for _name, _items in (("part_issues", "1, 2, 3"), ("part_blocks", "1, 2, 3, 4")):
+    SPARK_ONLY[_name] = f"SELECT *, explode(array({_items})) AS n FROM {{part}}"
+    DUCK_ONLY[_name] = f"SELECT *, unnest([{_items}]) AS n FROM {{part}}"
 PORTABLE["issue_rows"] = """
 SELECT p_partkey AS response_id, i.n AS issue_index,
        CASE (p_partkey + i.n) % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity,
@@ -211,7 +219,7 @@ SELECT p_partkey AS response_id, i.n AS issue_index,
        CASE (p_partkey + i.n) % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'Guide to (' || p_brand || ') ' || p_type || ' stock'
             ELSE 'Guide to ' || p_type || ' depot stock' END AS source_title,
        'Guide to ' || p_type || ' depot stock list' AS page_title
-FROM {part} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) i
+FROM {part_issues} i
 """
 PORTABLE["text_blocks"] = """
 SELECT p_partkey AS response_id, b.n AS block_index,
@@ -219,7 +227,7 @@ SELECT p_partkey AS response_id, b.n AS block_index,
             WHEN 2 THEN 'Depot rules: every ' || p_type || ' order leaves the depot' || chr(10) || 'before noon, late orders wait for the next boxes'
             WHEN 3 THEN 'Unrelated words about weather and sports news of ' || p_brand
             ELSE 'Parts check list: handling of ' || p_name || ', boxes, orders, depot, risk' END AS text
-FROM {part} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) b
+FROM {part_blocks} b
 """
 PORTABLE["bench_runs"] = """
 SELECT event_id AS run, event_type AS label, value AS client_ms,
@@ -254,8 +262,9 @@ def with_inputs(sql: str) -> str:
     if not ctes:
         return body
     head = "WITH " + ",\n".join(ctes)
-    if body[:5].upper() == "WITH ":
-        return head + ",\n" + body[5:]
+    for start, opening in (("WITH RECURSIVE ", "WITH RECURSIVE "), ("WITH ", "WITH ")):
+        if body.startswith(start):
+            return opening + head[5:] + ",\n" + body[len(start):]
     return head + "\n" + body
 
 
@@ -265,6 +274,13 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A stage result several later stages read: checkpointed, so it is computed once."""
+        if name not in self._made:
+            self._made[name] = cut_lineage(make())
+        return self._made[name]
 
     def _sql(self, name: str) -> str:
         if name in TABLES:

@@ -213,9 +213,12 @@ PROFILES = f"""features AS (SELECT page_url, title, source_type, length(markdown
 
 
 def profiles(t):
-    asked = questions(t)
-    planner = pg.planner_mode(asked, t.turn_basket)
-    return pg.page_profiles(asked, t.turn_basket, pg.page_features(t.doc_pages), planner)
+    def make():
+        asked = questions(t)
+        planner = pg.planner_mode(asked, t.turn_basket)
+        return pg.page_profiles(asked, t.turn_basket, pg.page_features(t.doc_pages), planner)
+
+    return t.once("profiles", make)
 
 
 @checked("page_profile", f"""WITH {QUESTIONS}, {PLANNER}, {PROFILES}
