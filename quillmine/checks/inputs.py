@@ -190,7 +190,7 @@ SELECT p_partkey AS response_id, p_partkey % 10 AS kind, p_name, p_type, p_brand
               || '{"title": "Missing timeout for ' || p_name || '", "severity": "HIGH", "category": "reliability", "evidence": "the ' || p_type || ' gateway has no timeout", "risk": "Calls hang for ' || p_name || ' users", "suggestion": "Add a timeout to the gateway", "source_title": "Spec ' || p_brand || '"},'
               || '{"title": "No owner", "severity": "urgent", "risk": "Nobody reacts", "suggestion": " Name an owner "},'
               || '{"title": "", "severity": "low", "risk": "r", "suggestion": "s"}, "not an object"]}' || chr(10) || '```'
-         WHEN 1 THEN '{"summary": "", "issues": [{"title": "Quota of ' || p_type || ' unclear", "severity": "low", "category": "", "risk": "Limits differ", "suggestion": "State the quota"}, {"title": "x", "risk": "", "suggestion": "y"}, {"title": "Third ' || p_brand || '", "risk": "a", "suggestion": "b", "evidence": "quoted \\"the ' || p_name || ' part has a fixed size\\" there"}, {"title": "Fourth", "risk": "a", "suggestion": "b"}, {"title": "Fifth", "risk": "a", "suggestion": "b"}, {"title": "Sixth", "risk": "a", "suggestion": "b"}]}'
+         WHEN 1 THEN '{"summary": "", "issues": [{"title": "Quota of ' || p_type || ' unclear", "severity": "low", "category": "", "risk": "Limits differ", "suggestion": "State the quota"}, {"title": "x", "risk": "", "suggestion": "y"}, {"title": "Third ' || p_brand || '", "risk": "a", "suggestion": "b", "evidence": "quoted ' || chr(92) || '"the ' || p_name || ' part has a fixed size' || chr(92) || '" there"}, {"title": "Fourth", "risk": "a", "suggestion": "b"}, {"title": "Fifth", "risk": "a", "suggestion": "b"}, {"title": "Sixth", "risk": "a", "suggestion": "b"}]}'
          WHEN 2 THEN 'Some prose before {"summary": "only text ' || p_brand || '", "issues": "none"} and after'
          WHEN 3 THEN 'Broken {"summary": "no end ' || p_name || '"'
          WHEN 4 THEN 'The flow of ' || p_name || ':' || chr(10) || chr(10) || chr(10) || chr(10) || '```mermaid' || chr(10) || 'sequenceDiagram' || chr(10) || '  A->>B: ' || p_type || chr(10) || '```' || chr(10) || 'Done.'
@@ -203,9 +203,9 @@ SELECT p_partkey AS response_id, p_partkey % 10 AS kind, p_name, p_type, p_brand
          ELSE '- not - a suggestion, just a list about ' || p_name END AS text
 FROM {part}
 """
-for _name, _items in (("part_issues", "1, 2, 3"), ("part_blocks", "1, 2, 3, 4")):
-    SPARK_ONLY[_name] = f"SELECT *, explode(array({_items})) AS n FROM {{part}}"
-    DUCK_ONLY[_name] = f"SELECT *, unnest([{_items}]) AS n FROM {{part}}"
+for _name, _items in (("part_issues", (1, 2, 3)), ("part_blocks", (1, 2, 3, 4))):
+    SPARK_ONLY[_name] = f"SELECT *, explode(array({', '.join(f'{i}L' for i in _items)})) AS n FROM {{part}}"
+    DUCK_ONLY[_name] = f"SELECT *, unnest({list(_items)}::BIGINT[]) AS n FROM {{part}}"
 PORTABLE["issue_rows"] = """
 SELECT p_partkey AS response_id, i.n AS issue_index,
        CASE (p_partkey + i.n) % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity,

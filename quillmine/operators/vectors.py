@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmine.functions import vectors as vx
 
 
 def _matrix(rows: list, dims: int) -> np.ndarray:
@@ -109,4 +108,3 @@ def centroids(vectors: DataFrame, group: str, dims: int) -> DataFrame:
     return vectors.groupBy(group).agg(F.array(*means).alias("embedding"))
 
 
-__all__ = ["vector_topk", "vector_problems", "missing_vectors", "vector_stats", "centroids", "pack", "vx"]
