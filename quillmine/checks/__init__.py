@@ -9,4 +9,4 @@ def all_checked():
     return registry.CHECKED
 
 
-MODULES = ("page_queries", "retrieve_queries", "link_queries", "response_queries")
+MODULES = ("page_queries", "retrieve_queries", "link_queries", "response_queries", "plan_queries")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmine.session import cut_lineage
+from quillmine.session import cut_lineage, ship_package
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -272,6 +272,7 @@ class Inputs:
     """Inputs as DataFrames: ``inputs.documents``, ``inputs.doc_pages`` and so on."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship_package(spark)
         self.spark = spark
         self.folder = folder
         self._made: dict[str, DataFrame] = {}

@@ -144,10 +144,9 @@ def page_heading_terms(t):
 SELECT page_url, {d.page_role('title', 'page_url', 'markdown', 'source_type')} AS role FROM {{policy_pages}}
 UNION ALL SELECT page_url, {d.page_role('title', 'page_url', 'markdown', 'source_type')} FROM {{doc_pages}}""")
 def page_role(t):
-    cols = [F.col(c) for c in ("title", "page_url", "markdown", "source_type")]
-    return t.policy_pages.select("page_url", pg.document_role(*cols).alias("role")).union(
-        t.doc_pages.select("page_url", pg.document_role(*cols))
-    )
+    columns = ["title", "page_url", "markdown", "source_type"]
+    both = t.policy_pages.select(*columns).union(t.doc_pages.select(*columns))
+    return pg.with_role(both).select("page_url", "role")
 
 
 @checked("page_context_role", f"""

@@ -27,35 +27,49 @@ def heading_terms(markdown: Column) -> Column:
     return tx.token_set(F.array_join(first, " "))
 
 
+def role_text(title: Column, url: Column, markdown: Column) -> Column:
+    """What the role hints are looked for in."""
+    return F.lower(F.concat_ws("\n", title, url, F.substring(markdown, 1, rules.ROLE_TEXT_CHARS)))
+
+
 def document_role(
-    title: Column,
-    url: Column,
-    markdown: Column,
-    source_type: Column,
-    hints: Mapping[str, Sequence[str]] = rules.DOCUMENT_ROLE_HINTS,
+    text: Column, source_type: Column, hints: Mapping[str, Sequence[str]] = rules.DOCUMENT_ROLE_HINTS
 ) -> Column:
-    head = F.substring(markdown, 1, rules.ROLE_TEXT_CHARS)
-    text = F.lower(F.concat_ws("\n", title, url, head))
+    """First role with a hint in ``text``; pass a materialised column, it is read many times."""
     role = F.when(source_type == "jira", "ticket").otherwise("generic")
     for name, words in reversed(list(hints.items())):
         role = F.when(tx.contains_any(text, words), F.lit(name)).otherwise(role)
     return role
 
 
+def with_role(pages: DataFrame, hints: Mapping[str, Sequence[str]] = rules.DOCUMENT_ROLE_HINTS) -> DataFrame:
+    """Pages with a ``role`` column.
+
+    The hint text is its own projection: the optimizer keeps it apart because it is used more
+    than once, so it is built once per row.
+    """
+    text = role_text(F.col("title"), F.col("page_url"), F.col("markdown"))
+    return (
+        pages.withColumn("role_text", text)
+        .withColumn("role", document_role(F.col("role_text"), F.col("source_type"), hints))
+        .drop("role_text")
+    )
+
+
 def page_features(pages: DataFrame, hints: Mapping[str, Sequence[str]] = rules.DOCUMENT_ROLE_HINTS) -> DataFrame:
     """Everything about a page that no question changes; the text itself is not carried on."""
-    canonical = urls.canonical_url(F.col("page_url"))
-    return pages.select(
+    rows = with_role(pages, hints).withColumn("canonical_url", urls.canonical_url(F.col("page_url")))
+    return rows.select(
         "page_url",
         "title",
         "source_type",
         F.length("markdown").cast("long").alias("size_chars"),
-        document_role(F.col("title"), F.col("page_url"), F.col("markdown"), F.col("source_type"), hints).alias("role"),
-        canonical.alias("canonical_url"),
+        "role",
+        "canonical_url",
         content_signature(F.col("markdown")).alias("content_signature"),
         tx.token_set(F.col("title")).alias("title_terms"),
         heading_terms(F.col("markdown")).alias("heading_terms"),
-        tx.token_set(canonical).alias("url_terms"),
+        tx.token_set(F.col("canonical_url")).alias("url_terms"),
     )
 
 

@@ -143,11 +143,9 @@ def lines_of(text: Column) -> Column:
 
 
 def diagram_type(code: Column, prefixes: Sequence[str] = rules.DIAGRAM_PREFIXES) -> Column:
-    line = tx.strip(F.element_at(lines_of(tx.strip(tx.text_of(code))), 1))
-    kind = F.lit("unknown")
-    for prefix in reversed(prefixes):
-        kind = F.when(line.startswith(prefix), F.lit(prefix)).otherwise(kind)
-    return kind
+    """Type named at the start of the first line; one pattern, so ``code`` is evaluated once."""
+    named = F.regexp_extract(tx.strip(tx.text_of(code)), "^(" + "|".join(prefixes) + ")", 1)
+    return F.coalesce(F.nullif(named, F.lit("")), F.lit("unknown"))
 
 
 def diagram_code(text: Column) -> Column:

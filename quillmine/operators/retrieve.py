@@ -16,17 +16,21 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from quillmine import rules
 from quillmine.functions import text as tx
 from quillmine.functions import vectors as vx
 
 MAX_K = 20
-PER_QUERY = Window.partitionBy("query_id")
+
+
+def per_query() -> WindowSpec:
+    return Window.partitionBy("query_id")
 
 
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(PER_QUERY.orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(per_query().orderBy(*order)))
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -200,7 +204,7 @@ def page_quality_scores(candidates: DataFrame, profiles: DataFrame) -> DataFrame
 def threshold(candidates: DataFrame, least: float = rules.SIMILARITY_THRESHOLD) -> DataFrame:
     """Rows above the threshold, or the best five where a question has none."""
     strong = F.col("score") > least
-    some = F.max(strong).over(PER_QUERY)
+    some = F.max(strong).over(per_query())
     kept = candidates.withColumn("weak_match", ~some).filter(
         strong | (F.col("weak_match") & (F.col("rank") <= rules.SIMILARITY_FALLBACK_COUNT))
     )
@@ -227,7 +231,7 @@ def source_caps(profiles: DataFrame) -> DataFrame:
         .otherwise(F.when(n <= 3, 3).otherwise(4))
     )
     return (
-        counts.withColumn("n_types", F.count("*").over(PER_QUERY))
+        counts.withColumn("n_types", F.count("*").over(per_query()))
         .filter(F.col("n_types") > 1)
         .select("query_id", "source_type", cap.alias("source_cap"))
     )

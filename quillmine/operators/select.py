@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmine import rules
 from quillmine.functions import text as tx
-from quillmine.operators.retrieve import PER_QUERY, page_caps, ranked
+from quillmine.operators.retrieve import page_caps, per_query, ranked
 
 ITEM = "struct<rank:int,page_url:string,source_type:string,tokens:bigint,page_cap:int,source_cap:int>"
 STATE = f"struct<taken:array<{ITEM}>,later:array<{ITEM}>,used:bigint>"
@@ -190,7 +190,7 @@ def stitch_order(selected: DataFrame, added: DataFrame) -> DataFrame:
     placed = both.withColumns(
         {
             "page_rank": F.min("select_rank").over(page),
-            "stitched": F.max(F.col("strategy") != "selected").over(PER_QUERY),
+            "stitched": F.max(F.col("strategy") != "selected").over(per_query()),
         }
     )
     by_page = F.when(F.col("stitched"), F.col("page_rank")).otherwise(F.col("select_rank"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Put this package on the path of every Python worker, once per application.
+
+    A job started with ``--py-files`` does not need it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_quillmine_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="quillmine-"), "quillmine.zip")
+    with zipfile.ZipFile(path, "w") as bundle:
+        for folder, _, files in os.walk(home):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    bundle.write(full, os.path.join("quillmine", os.path.relpath(full, home)))
+    context.addPyFile(path)
+    context._quillmine_shipped = True

@@ -91,17 +91,46 @@ def cooldown_stream(visits: DataFrame, seconds: float = rules.SCAN_COOLDOWN_SECO
     return _accept(visits, seconds, True, lateness)
 
 
-def ttl_batch(fetches: DataFrame, seconds: int = rules.CACHE_TTL_SECONDS, spread: int = 8) -> DataFrame:
-    """Batch twin of ``ttl_stream``: fetches(key, ts, seq) to the accepted rows.
+def _walk(rows: DataFrame, group: list[str], micros: int, keep_first: bool) -> DataFrame:
+    """Accept rows(key, value, at, seq) in time order within ``group``.
 
-    Accepted fetches of a key lie at least one lifetime apart, so a slice of time as long as
-    the lifetime holds at most one of them: the earliest that is old enough.  Each slice is one
-    map-side combined minimum against one row per key from the slices before it.  A hot key so
-    never becomes a group in one task, and a day's slice is also what a daily job would run.
+    Groups arrive whole and sorted (Spark's sort spills), and two values are carried from batch
+    to batch, so memory does not grow with a group.
     """
-    width = seconds * 1_000_000
-    stamped = fetches.select(F.col("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("seq"))
-    spark = fetches.sparkSession
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = last = None
+        for batch in batches:
+            taken = []
+            for key, value, at, seq, *names in batch.itertuples(index=False):
+                if names != here:
+                    here, last = names, at
+                    fresh = keep_first
+                else:
+                    fresh = at - last >= micros
+                    last = at if fresh else last
+                if fresh:
+                    taken.append((key, value, at, seq))
+            yield pd.DataFrame(taken, columns=["key", "value", "at", "seq"])
+
+    named = [F.col(g).alias(f"g{i}") for i, g in enumerate(group)]
+    return (
+        rows.select("key", "value", "at", "seq", *named)
+        .repartition(*[f"g{i}" for i in range(len(group))])
+        .sortWithinPartitions(*[f"g{i}" for i in range(len(group))], "at", "seq")
+        .mapInPandas(run, "key string, value string, at long, seq long")
+    )
+
+
+def _ttl_slices(stamped: DataFrame, width: int, spread: int) -> DataFrame:
+    """Accepted rows of keys of any size, one slice of time after the other.
+
+    Accepted fetches of a key lie at least one lifetime apart, so a slice as long as the
+    lifetime holds at most one of them: the earliest that is old enough.  Each slice is one
+    map-side combined minimum against one row per key, so a hot key never becomes a group in
+    one task.
+    """
+    spark = stamped.sparkSession
     table = f"{shared_folder(spark)}/ttl-{uuid.uuid4().hex}"
     # one folder per slice, so a round reads its slice only; ``spread`` files per slice
     (
@@ -109,13 +138,13 @@ def ttl_batch(fetches: DataFrame, seconds: int = rules.CACHE_TTL_SECONDS, spread
         .repartition("slice", F.pmod(F.xxhash64("seq"), F.lit(spread)))
         .write.partitionBy("slice").parquet(table)
     )
-    stamped = spark.read.parquet(table)
-    slices = [r["slice"] for r in stamped.select("slice").distinct().sort("slice").collect()]
+    sliced = spark.read.parquet(table)
+    numbers = [r["slice"] for r in sliced.select("slice").distinct().sort("slice").collect()]
     last = taken = None
-    for number, part in enumerate(slices):
-        rows = stamped.filter(F.col("slice") == part)
+    for number in numbers:
+        rows = sliced.filter(F.col("slice") == number)
         if last is not None:
-            rows = rows.join(last.withColumnRenamed("at", "last_at").drop("seq"), "key", "left").filter(
+            rows = rows.join(last.select("key", F.col("at").alias("last_at")), "key", "left").filter(
                 F.col("last_at").isNull() | (F.col("at") - F.col("last_at") >= width)
             )
         found = rows.groupBy("key").agg(F.min(F.struct("at", "seq")).alias("m")).select("key", "m.at", "m.seq")
@@ -125,11 +154,27 @@ def ttl_batch(fetches: DataFrame, seconds: int = rules.CACHE_TTL_SECONDS, spread
             last = found
         else:
             merged = last.unionByName(found).groupBy("key").agg(F.max(F.struct("at", "seq")).alias("m"))
-            last = merged.select("key", "m.at", "m.seq")
-        if number % 8 == 7:
-            last = cut_lineage(last)
-    if taken is None:
-        taken = stamped.select("key", "at", "seq")
+            last = cut_lineage(merged.select("key", "m.at", "m.seq"))
+    return taken
+
+
+def ttl_batch(
+    fetches: DataFrame, seconds: int = rules.CACHE_TTL_SECONDS, hot_rows: int = 1_000_000, spread: int = 32
+) -> DataFrame:
+    """Batch twin of ``ttl_stream``: fetches(key, ts, seq) to the accepted rows.
+
+    Keys with up to ``hot_rows`` events are walked in time order after one exchange; keys above
+    it go slice by slice through ``_ttl_slices``.  Both are exact.
+    """
+    width = seconds * 1_000_000
+    stamped = fetches.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq")
+    hot = cut_lineage(stamped.groupBy("key").count().filter(F.col("count") > hot_rows).select("key"))
+    small = stamped.withColumn("value", F.lit(None).cast("string"))
+    if hot.isEmpty():
+        taken = _walk(small, ["key"], width, keep_first=True).select("key", "at", "seq")
+    else:
+        taken = _walk(small.join(hot, "key", "left_anti"), ["key"], width, keep_first=True).select("key", "at", "seq")
+        taken = taken.unionByName(_ttl_slices(stamped.join(hot, "key", "left_semi"), width, spread))
     return taken.select("key", F.timestamp_micros("at").alias("ts"), "seq")
 
 
@@ -163,27 +208,11 @@ def cooldown_batch(visits: DataFrame, seconds: int = rules.SCAN_COOLDOWN_SECONDS
     sized = bursts.groupBy("key", "burst").agg(F.count("*").alias("n"))
     first = bursts.filter(F.col("opens")).select("key", "value", "at", "seq")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Bursts arrive whole and sorted; two values are carried from batch to batch.
-        burst = last = None
-        for batch in batches:
-            taken = []
-            for row in batch.itertuples(index=False):
-                if (row.key, row.b_at, row.b_seq) != burst:
-                    burst, last = (row.key, row.b_at, row.b_seq), row.at
-                elif row.at - last >= micros:
-                    last = row.at
-                    taken.append((row.key, row.value, row.at, row.seq))
-            yield pd.DataFrame(taken, columns=["key", "value", "at", "seq"])
-
     # only bursts of three or more can hold a second accepted visit
-    more = (
-        bursts.join(sized.filter(F.col("n") >= 3), ["key", "burst"])
-        .select("key", "value", "at", "seq", F.col("burst.at").alias("b_at"), F.col("burst.seq").alias("b_seq"))
-        .repartition("key", "b_at", "b_seq")
-        .sortWithinPartitions("key", "b_at", "b_seq", "at", "seq")
-        .mapInPandas(walk, first.schema)
+    long = bursts.join(sized.filter(F.col("n") >= 3), ["key", "burst"]).select(
+        "key", "value", "at", "seq", F.col("burst.at").alias("b_at"), F.col("burst.seq").alias("b_seq")
     )
+    more = _walk(long, ["key", "b_at", "b_seq"], micros, keep_first=False)
     return first.unionByName(more).select("key", "value", F.timestamp_micros("at").alias("ts"), "seq")
 
 
