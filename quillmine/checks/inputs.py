@@ -7,12 +7,14 @@ unnest are written per engine.  ``{name}`` refers to a driver table or another i
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmine.session import cut_lineage, ship_package
+from quillmine.sources.tables import read_table
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -276,6 +278,7 @@ class Inputs:
         self.spark = spark
         self.folder = folder
         self._made: dict[str, DataFrame] = {}
+        self._views: set[str] = set()
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A stage result several later stages read: checkpointed, so it is computed once."""
@@ -283,15 +286,23 @@ class Inputs:
             self._made[name] = cut_lineage(make())
         return self._made[name]
 
+    def _view(self, name: str) -> str:
+        """A temporary view of a driver table; its name holds the folder it reads."""
+        view = f"quillmine_{name}_{hashlib.md5(self.folder.encode()).hexdigest()[:8]}"
+        if name not in self._views:
+            read_table(self.spark, f"{self.folder}/{name}.parquet").createOrReplaceTempView(view)
+            self._views.add(name)
+        return view
+
     def _sql(self, name: str) -> str:
         if name in TABLES:
-            return f"parquet.`{self.folder}/{name}.parquet`"
+            return self._view(name)
         text = SPARK_ONLY.get(name) or PORTABLE[name]
         return "(" + _REF.sub(lambda m: self._sql(m.group(1)), text).strip() + ")"
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return self.spark.table(self._view(name))
         if name in PORTABLE or name in SPARK_ONLY:
             return self.spark.sql(f"SELECT * FROM {self._sql(name)}")
         raise AttributeError(name)

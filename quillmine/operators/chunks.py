@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -136,24 +136,32 @@ def embedding_text(title: Column, source_type: Column, text: Column) -> Column:
     )
 
 
-@lru_cache(maxsize=200_000)
-def _slot(token: str, dims: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dims
+class _Slots(dict):
+    """Token to slot number, worked out once per token and worker."""
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, token: str) -> int:
+        slot = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dims
+        return slot
 
 
 def hashed_counts(dims: int = 64) -> Callable[[pd.Series], pd.Series]:
     """Default encoder: token counts in hashed slots, L2-normalised."""
-    import re
-
     pattern = re.compile(r"[a-z0-9][a-z0-9._/-]*")
+    slots = _Slots(dims)
 
     def encode(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
-            slots = [_slot(t, dims) for t in pattern.findall((text or "").lower())]
-            vec = np.bincount(slots, minlength=dims).astype(np.float64)
+            found = np.fromiter(map(slots.__getitem__, pattern.findall((text or "").lower())), dtype=np.int64)
+            vec = np.bincount(found, minlength=dims).astype(np.float64)
             length = np.sqrt((vec * vec).sum())
             out.append((vec / length if length else vec).astype(np.float32))
+        if len(slots) > 1_000_000:
+            slots.clear()
         return pd.Series(out)
 
     return encode

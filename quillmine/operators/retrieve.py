@@ -78,27 +78,34 @@ def lexical_candidates(pairs: DataFrame, max_k: int = MAX_K) -> DataFrame:
 def dense_candidates(
     question_vectors: DataFrame, basket: DataFrame, chunk_vectors: DataFrame, max_k: int = MAX_K
 ) -> DataFrame:
-    """Exact cosine top-k inside each basket."""
+    """Exact cosine top-k inside each basket.
+
+    Vectors get unit length once per question and once per chunk, so a pair costs one product.
+    """
     asked = basket.select("query_id", "page_url", "original_index").join(
-        question_vectors.select("query_id", F.col("embedding").alias("q")), "query_id"
+        question_vectors.select("query_id", vx.normalize(F.col("embedding")).alias("q")), "query_id"
     )
-    scored = asked.join(
-        chunk_vectors.select("page_url", "chunk_index", "embedding"), "page_url"
-    ).select(
-        "query_id", "page_url", "chunk_index", "original_index",
-        vx.cosine(F.col("q"), F.col("embedding")).alias("score"),
+    unit = chunk_vectors.select("page_url", "chunk_index", vx.normalize(F.col("embedding")).alias("c"))
+    scored = asked.join(unit, "page_url").select(
+        "query_id", "page_url", "chunk_index", "original_index", vx.dot(F.col("q"), F.col("c")).alias("score")
     )
     return top_candidates(scored, max_k)
 
 
 def route_candidates(dense: DataFrame, lexical: DataFrame) -> DataFrame:
-    """Dense rows where a question has any, else its lexical rows, labelled."""
+    """Dense rows where a question has any, else its lexical rows, labelled.
+
+    Both lists are cut to the top k already, so a window over their union decides; an anti join
+    would compute the dense side twice.
+    """
     columns = ["query_id", "page_url", "chunk_index", "original_index", "score", "rank"]
-    rest = lexical.join(dense.select("query_id").distinct(), "query_id", "left_anti")
-    return (
-        dense.select(*columns).withColumn("strategy", F.lit("dense+hybrid"))
-        .unionByName(rest.select(*columns).withColumn("strategy", F.lit("lexical-fallback")))
+    both = dense.select(*columns).withColumn("strategy", F.lit("dense+hybrid")).unionByName(
+        lexical.select(*columns).withColumn("strategy", F.lit("lexical-fallback"))
     )
+    is_dense = F.col("strategy") == "dense+hybrid"
+    return both.withColumn("any_dense", F.max(is_dense).over(per_query())).filter(
+        is_dense | ~F.col("any_dense")
+    ).drop("any_dense")
 
 
 def priority_fallback(
