@@ -55,7 +55,14 @@ def response_text(message: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """True for exactly one JSON value.
+
+    The parser stops after the first value, so the text is parsed inside an array and inside an
+    object: what follows a value cannot fit both.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v": '), text, F.lit("}")))
+    return in_array.isNotNull() & in_object.isNotNull()
 
 
 def json_object(text: Column) -> Column:
@@ -213,7 +220,10 @@ def titles_match(source: Column, current: Column) -> Column:
     a, b = plain_title(source), plain_title(current)
     words_a = F.array_distinct(tx.word_tokens(a, 3, rules.TITLE_STOP_WORDS))
     words_b = tx.word_tokens(b, 3, rules.TITLE_STOP_WORDS)
-    shared = F.size(F.filter(words_b, lambda w: F.array_contains(words_a, w)))
+    # words_a is bound by an outer transform, else the inner lambda would rebuild it per word
+    shared = F.element_at(
+        F.transform(F.array(words_a), lambda known: F.size(F.filter(words_b, lambda w: F.array_contains(known, w)))), 1
+    )
     least = F.least(F.size(words_a), F.size(words_b))
     enough = (least > 0) & (shared >= F.greatest(F.lit(2), F.ceil(least / 2)))
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | enough)

@@ -87,7 +87,7 @@ def dense_candidates(
     )
     unit = chunk_vectors.select("page_url", "chunk_index", vx.normalize(F.col("embedding")).alias("c"))
     scored = asked.join(unit, "page_url").select(
-        "query_id", "page_url", "chunk_index", "original_index", vx.dot(F.col("q"), F.col("c")).alias("score")
+        "query_id", "page_url", "chunk_index", "original_index", vx.dot_batches(F.col("q"), F.col("c")).alias("score")
     )
     return top_candidates(scored, max_k)
 

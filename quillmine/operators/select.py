@@ -34,7 +34,8 @@ def select_budget(rows: DataFrame) -> DataFrame:
         F.col("rank").cast("int").alias("rank"), "page_url", "source_type",
         F.col("tokens").cast("long").alias("tokens"),
         F.greatest(F.lit(1), F.col("page_cap")).cast("int").alias("page_cap"),
-        F.greatest(F.lit(1), F.col("source_cap")).cast("int").alias("source_cap"),
+        # greatest() skips nulls, and no source cap means no limit
+        F.when(F.col("source_cap").isNotNull(), F.greatest(F.lit(1), F.col("source_cap"))).cast("int").alias("source_cap"),
     )
     grouped = rows.groupBy("query_id").agg(
         F.sort_array(F.collect_list(item)).alias("items"),

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmine import rules
 from quillmine.functions import text as tx
 from quillmine.operators import chunks as ch
 from quillmine.operators import conflicts as cf
@@ -46,6 +47,7 @@ class Answer:
     citations: DataFrame
     conflicts: DataFrame
     context: DataFrame
+    rejected: DataFrame
 
     def records(self) -> DataFrame:
         stats = self.stats.join(self.confidence, "query_id").join(self.summary, "query_id")
@@ -69,6 +71,12 @@ def answer_questions(
     context_role), pages(page_url, title, markdown, source_type).  Without an encoder the
     lexical route is taken, as it is when a question has no embedding.
     """
+    # requests above the page limit are refused as a whole; the walks below rely on that bound
+    sizes = basket.groupBy("query_id").agg(F.count("*").alias("n_pages"))
+    rejected = sizes.filter(F.col("n_pages") > rules.MAX_PAGES_PER_REQUEST)
+    questions = questions.join(rejected, "query_id", "left_anti")
+    basket = basket.join(rejected, "query_id", "left_anti")
+
     planner = pg.planner_mode(questions, basket)
     walked = cut_lineage(dd.dedup_basket(pg.page_profiles(questions, basket, pg.page_features(pages), planner)))
     profiles = walked.filter(F.col("outcome") == "kept").drop("outcome", "walk")
@@ -129,6 +137,7 @@ def answer_questions(
         summary=sl.selection_summary(final, filtered, profiles),
         confidence=sl.confidence(stats, questions), citations=sl.citations(readable),
         conflicts=cf.top_conflicts(cf.pairs(claims), claims), context=sl.context_text(readable),
+        rejected=rejected,
     )
 
 
