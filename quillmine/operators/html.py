@@ -356,7 +356,7 @@ def _mark(node: Node, content: str, base: str) -> str:
         language = inner.attrs.get("data-language", "") if inner else ""
         return f"\n```{language}\n{content.strip(WEB_SPACES)}\n```\n"
     if tag == "code":
-        return f"`{content}`"
+        return content if node.up is not None and node.up.tag == "pre" else f"`{content}`"
     if tag == "table":
         return _table(node)
     if tag == "a":
