@@ -432,13 +432,18 @@ def sink_pinned_append(t):
 SIG = f"sha1({d.strip(d.collapse('lower(markdown)'))})"
 
 
-@checked("sink_corpus_cache", f"""SELECT {SIG} AS content_signature, min(page_url) AS page_url FROM {{near_pages}}
+# URLs made unique, as a page table has them.
+PAGE_KEY = "page_url || '#' || CAST(page_no AS VARCHAR(20))"
+
+
+@checked("sink_corpus_cache", f"""SELECT {SIG} AS content_signature, min({PAGE_KEY}) AS page_url FROM {{near_pages}}
 WHERE {SIG} NOT IN (SELECT {SIG} FROM {{doc_pages}} WHERE source_type = 'confluence') GROUP BY 1""")
 def sink_corpus_cache(t):
     known = t.doc_pages.filter("source_type = 'confluence'").select(pg.content_signature(F.col("markdown")).alias("content_signature"))
     path = fresh_table(t, "corpus")
     st.append(known, path)
-    return st.unseen_pages(t.near_pages.select("page_url", "markdown"), t.spark.read.parquet(path)).select("content_signature", "page_url")
+    pages = t.near_pages.select(F.expr(PAGE_KEY).alias("page_url"), "markdown")
+    return st.unseen_pages(pages, t.spark.read.parquet(path)).select("content_signature", "page_url")
 
 
 @checked("src_requests_json", f"""

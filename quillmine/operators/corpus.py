@@ -1,8 +1,8 @@
 """Exact lexical search of many questions over a whole corpus.
 
 Same shape as the dense search: chunks are packed into tiles where they lie, questions into
-bounded blocks, a tile meets a block through an equi-join on the block number, and a task
-returns at most k rows per question and tile.  What is shuffled grows with tiles x questions
+bounded blocks, both meet as ``blocks.meet`` describes, and a task returns at most k rows per
+question and tile.  What is shuffled grows with tiles x questions
 x k, not with the matching (question, chunk) pairs, and no term becomes a join key, so a term
 that occurs everywhere costs no more than its counting.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmine import rules
+from quillmine.operators.blocks import block_count, block_of, meet
 from quillmine.operators.retrieve import MAX_K
 
 TILE_SCHEMA = (
@@ -80,23 +81,22 @@ class _Block:
 
 
 def corpus_topk(
-    questions: DataFrame, chunks: DataFrame, k: int = MAX_K, block_rows: int = 512, salts: int = 16
+    questions: DataFrame, chunks: DataFrame, k: int = MAX_K, block_rows: int = 512, **how
 ) -> DataFrame:
     """questions(query_id, query_terms): top k chunks of the corpus by lexical score > 0.
 
     Ties go to the smaller (page_url, chunk_index).
     """
     w = rules.LEXICAL_WEIGHTS
-    n_blocks = max(1, -(-questions.count() // block_rows))
+    n_questions, n_bytes = questions.agg(
+        F.count("*"), F.coalesce(F.sum(F.length(F.concat_ws(" ", "query_terms")) + 8 * F.size("query_terms")), F.lit(0))
+    ).first()
+    n_blocks = block_count(n_questions, block_rows)
     blocks = (
         questions.filter(F.size("query_terms") > 0)
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+        .withColumn("block", block_of(n_blocks))
         .groupBy("block").agg(F.collect_list(F.struct("query_id", "query_terms")).alias("asked"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    tiles = pack_chunks(chunks).withColumn(
-        "salt", F.pmod(F.xxhash64("urls", "indexes"), F.lit(salts)).cast("int")
-    ).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[int, _Block] = {}
@@ -124,9 +124,8 @@ def corpus_topk(
                     "heading_overlap": heading[at, q], "score": score[at, q],
                 })
 
-    local = tiles.join(blocks, ["block", "salt"]).select(
-        "block", "asked", "urls", "indexes", *SETS
-    ).mapInPandas(run, OUT_SCHEMA)
+    met = meet(pack_chunks(chunks), blocks, n_blocks, n_bytes + 16 * n_questions, "indexes", **how)
+    local = met.select("block", "asked", "urls", "indexes", *SETS).mapInPandas(run, OUT_SCHEMA)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "page_url", "chunk_index")
     return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn(
         "has_terms", F.lit(True)

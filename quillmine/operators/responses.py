@@ -251,20 +251,17 @@ def suggestion_terms(keywords: Column, reason: Column, min_length: int, stop_wor
 
 
 def uncovered_suggestions(found: DataFrame, pinned: DataFrame, basket_col: str = "basket_id") -> DataFrame:
-    """Suggestions no pinned page of their basket mentions; pinned(basket_id, title, url).
-
-    A basket holds few pages, so its titles and URLs are searched as one text.
-    """
-    texts = pinned.groupBy(basket_col).agg(
-        F.array_join(F.collect_list(F.lower(F.concat_ws(" ", "title", "url"))), "\n").alias("pinned_text")
-    )
+    """Suggestions no pinned page of their basket mentions; pinned(basket_id, title, url)."""
     phrases = F.filter(
         F.transform("keywords", lambda k: tx.web_strip(F.lower(k))), lambda k: F.length(k) >= 5
     )
-    terms = F.concat(phrases, suggestion_terms(F.col("keywords"), F.col("reason"), 5, rules.SUGGESTION_STOP_WORDS))
-    rows = found.join(texts, basket_col, "left").withColumn("pinned_text", tx.text_of(F.col("pinned_text")))
-    covered = F.exists(terms, lambda w: F.contains(F.col("pinned_text"), w))
-    return rows.filter(~covered).drop("pinned_text")
+    words = suggestion_terms(F.col("keywords"), F.col("reason"), 5, rules.SUGGESTION_STOP_WORDS)
+    keys = ["response_id", "suggestion_index"]
+    asked = found.select(basket_col, *keys, F.array_distinct(F.concat(phrases, words)).alias("terms"))
+    pages = pinned.select(basket_col, F.lower(F.concat_ws(" ", "title", "url")).alias("page"))
+    hit = F.exists("terms", lambda w: F.contains(F.col("page"), w))
+    covered = asked.join(pages, basket_col).filter(hit).select(*keys).distinct()
+    return found.join(covered, keys, "left_anti")
 
 
 def links_for_suggestions(

@@ -1,10 +1,8 @@
 """Exact dense search over a whole corpus, as blocks of questions against tiles of vectors.
 
 Tiles are packed inside the partitions the vectors already lie in (no shuffle), blocks hold a
-bounded number of questions.  A tile meets every block through an equi-join on the block
-number: Spark broadcasts the blocks when their size allows it and shuffles otherwise, where a
-salt spreads the tiles of one block over many tasks.  Each task returns at most k rows per
-question and tile, and a window takes the global top k.
+bounded number of questions, and both meet as ``blocks.meet`` describes.  Each task returns at
+most k rows per question and tile, and a window takes the global top k.
 """
 
 from __future__ import annotations
@@ -16,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmine.operators.blocks import block_count, block_of, meet
+
 
 
 def _matrix(rows: list, dims: int) -> np.ndarray:
@@ -47,17 +47,14 @@ def vector_topk(
     k: int,
     dims: int,
     block_rows: int = 1024,
-    salts: int = 16,
+    **how,
 ) -> DataFrame:
     """questions(query_id, embedding) against corpus(vec_id, embedding): top k by cosine."""
-    n_blocks = max(1, -(-questions.count() // block_rows))
-    in_block = questions.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
-    blocks = in_block.groupBy("block").agg(
+    n_questions = questions.count()
+    n_blocks = block_count(n_questions, block_rows)
+    blocks = questions.withColumn("block", block_of(n_blocks)).groupBy("block").agg(
         F.collect_list(F.struct("query_id", F.col("embedding").cast("array<double>").alias("embedding"))).alias("asked")
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    tiles = pack(corpus, "vec_id", "embedding", dims).withColumn(
-        "salt", F.pmod(F.xxhash64("keys"), F.lit(salts)).cast("int")
-    ).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -76,7 +73,9 @@ def vector_topk(
                     }
                 )
 
-    local = tiles.join(blocks, ["block", "salt"]).select("keys", "data", "asked").mapInPandas(
+    tiles = pack(corpus, "vec_id", "embedding", dims)
+    met = meet(tiles, blocks, n_blocks, n_questions * (dims + 2) * 8, "keys", **how)
+    local = met.select("keys", "data", "asked").mapInPandas(
         run, "query_id long, vec_id long, score double"
     )
     best = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
@@ -106,5 +105,3 @@ def centroids(vectors: DataFrame, group: str, dims: int) -> DataFrame:
     """Mean vector per group as one wide, map-side combined aggregation."""
     means = [F.avg(F.col("embedding")[i].cast("double")) for i in range(dims)]
     return vectors.groupBy(group).agg(F.array(*means).alias("embedding"))
-
-

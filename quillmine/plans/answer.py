@@ -123,7 +123,9 @@ def answer_questions(
     added = sl.stitch_select(sl.stitch_queue(selected, policy), selected, policy, sizes.select("page_url", "chunk_index", "tokens"))
     final = cut_lineage(sl.stitch_order(selected, added))
 
-    texts = chunks.select("page_url", "chunk_index", "total_chunks", "source_type", "page_title", "text")
+    # only pages with a selected chunk are read and cut once more
+    shown = ch.chunk_pages(pages.join(final.select("page_url").distinct(), "page_url", "left_semi"))
+    texts = shown.select("page_url", "chunk_index", "total_chunks", "source_type", "page_title", "text")
     readable = cut_lineage(final.join(texts, ["page_url", "chunk_index"]))
     claims = cut_lineage(cf.claims(cf.sentences(readable)))
     stats = sl.retrieval_stats(policy, candidates, filtered, final, basket)
@@ -155,11 +157,7 @@ def corpus_chunks(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 def search_corpus(questions: DataFrame, pages: DataFrame, k: int = rt.MAX_K) -> DataFrame:
     """The best chunks of a whole corpus per question: unique pages, chunks, lexical top k,
     hybrid score, threshold and the place of the page among the citations."""
-    signed = pages.withColumn("content_signature", pg.content_signature(F.col("markdown")))
-    fields = ["page_url", "title", "markdown", "source_type"]
-    unique = signed.groupBy("content_signature").agg(
-        F.min_by(F.struct(*fields), F.col("page_url")).alias("p")
-    ).select("p.*")
+    unique = st.without_copies(pages)
     # titles and headings travel with the page through the splitter: no join back
     chunks = ch.chunk_pages(unique)
     rows = chunks.select(

@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only where the session names none (tests, one machine) a temporary one is made.
     """
     context = spark.sparkContext
-    folder = context.getConf().get(CHECKPOINT_CONF) or context.getCheckpointDir()
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="quillmine-")
         context.setCheckpointDir(folder)

@@ -27,6 +27,21 @@ def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def without_copies(pages: DataFrame) -> DataFrame:
+    """Pages(page_url, markdown, ...) without repeats of a text; the smallest URL stays.
+
+    Only (signature, URL) rows are grouped, and the texts meet the list of repeats in an anti
+    join.  Repeats are few as a rule, so at run time that list is broadcast and the texts are
+    not moved; a long list falls back to a shuffle.
+    """
+    signed = pages.select("page_url", content_signature(F.col("markdown")).alias("content_signature"))
+    repeated = signed.groupBy("content_signature").agg(
+        F.min("page_url").alias("keeper"), F.count("*").alias("n")
+    ).filter(F.col("n") > 1)
+    spare = signed.join(repeated, "content_signature").filter(F.col("page_url") != F.col("keeper"))
+    return pages.join(spare.select("page_url"), "page_url", "left_anti")
+
+
 def unseen_pages(pages: DataFrame, corpus: DataFrame) -> DataFrame:
     """Pages whose text is not in the corpus table yet, one per signature.
 
@@ -34,10 +49,7 @@ def unseen_pages(pages: DataFrame, corpus: DataFrame) -> DataFrame:
     """
     signed = pages.withColumn("content_signature", content_signature(F.col("markdown")))
     fresh = signed.join(corpus.select("content_signature").distinct(), "content_signature", "left_anti")
-    columns = [c for c in fresh.columns if c != "content_signature"]
-    return fresh.groupBy("content_signature").agg(
-        F.min_by(F.struct(*columns), F.struct("page_url")).alias("p")
-    ).select("content_signature", "p.*")
+    return without_copies(fresh)
 
 
 def answer_records(

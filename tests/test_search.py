@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillmine.operators.corpus import corpus_topk
@@ -8,7 +9,8 @@ from quillmine.operators.ranking import spread_row_number
 from quillmine.operators.vectors import vector_topk
 
 
-def test_corpus_search_with_many_blocks_equals_brute_force(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_corpus_search_with_many_blocks_equals_brute_force(spark, limit):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(60)]
     asked = [(q, sorted(set(rng.choices(words, k=rng.randint(0, 6))))) for q in range(40)]
@@ -21,7 +23,7 @@ def test_corpus_search_with_many_blocks_equals_brute_force(spark):
         chunks, "page_url string, chunk_index long, chunk_terms array<string>, title_terms array<string>, heading_terms array<string>"
     ).repartition(5)
     got: dict[int, list] = {}
-    for r in corpus_topk(questions, rows, k=7, block_rows=9, salts=3).sort("query_id", "rank").collect():
+    for r in corpus_topk(questions, rows, k=7, block_rows=9, salts=3, broadcast_bytes=limit).sort("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.page_url, r.chunk_index, round(r.score, 9)))
     for q, terms in asked:
         scored = []
@@ -36,13 +38,14 @@ def test_corpus_search_with_many_blocks_equals_brute_force(spark):
         assert got.get(q, []) == want
 
 
-def test_vector_search_with_many_blocks_equals_brute_force(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_vector_search_with_many_blocks_equals_brute_force(spark, limit):
     rng = np.random.default_rng(2)
     corpus, asked = rng.normal(size=(300, 8)), rng.normal(size=(30, 8))
     corpus[17] = 0
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "vec_id long, embedding array<float>").repartition(4)
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, embedding array<float>")
-    rows = vector_topk(q, c, k=5, dims=8, block_rows=7, salts=2).sort("query_id", "rank").collect()
+    rows = vector_topk(q, c, k=5, dims=8, block_rows=7, salts=2, broadcast_bytes=limit).sort("query_id", "rank").collect()
     norms = np.linalg.norm(corpus, axis=1, keepdims=True)
     unit = np.divide(corpus, norms, out=np.zeros_like(corpus), where=norms > 0)
     want = np.argsort(-(asked @ unit.T), axis=1)[:, :5]
