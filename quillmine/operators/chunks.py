@@ -67,10 +67,15 @@ def split_text(
 
 
 def chunk_pages(
-    pages: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP
+    pages: DataFrame,
+    size: int = rules.CHUNK_SIZE,
+    overlap: int = rules.CHUNK_OVERLAP,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Pages to chunks, partition by partition, no shuffle.
 
+    ``carry`` names page columns every chunk keeps, which saves a join back to the pages.
+
     A page is one row, so index, count and offsets come out of the same task.
     ``char_start`` is the running sum of (length - overlap), as callers expect it.
     """
@@ -78,21 +83,23 @@ def chunk_pages(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for url, title, kind, markdown in batch.itertuples(index=False):
+            for url, title, kind, markdown, *kept in batch.itertuples(index=False):
                 if not markdown or not markdown.strip():
                     continue
                 texts = split_text(markdown, size, overlap)
                 start = 0
                 for i, text in enumerate(texts):
-                    rows.append((url, title, kind, i, len(texts), start, start + len(text), text))
+                    rows.append((url, title, kind, i, len(texts), start, start + len(text), text, *kept))
                     start += len(text) - overlap
             yield pd.DataFrame(
                 rows,
                 columns=["page_url", "page_title", "source_type", "chunk_index", "total_chunks",
-                         "char_start", "char_end", "text"],
+                         "char_start", "char_end", "text", *carry],
             )
 
-    return pages.select("page_url", "title", "source_type", "markdown").mapInPandas(run, CHUNK_SCHEMA)
+    source = pages.select("page_url", "title", "source_type", "markdown", *carry)
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema.fields[4:])
+    return source.mapInPandas(run, CHUNK_SCHEMA + extra)
 
 
 def chunk_offsets(chunks: DataFrame, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:

@@ -143,27 +143,15 @@ def answer_questions(
     )
 
 
-def corpus_chunks(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunk rows with the term sets the corpus search reads."""
-    marked = pages.select(
-        "page_url", tx.token_set(F.col("title")).alias("title_terms"),
-        pg.heading_terms(F.col("markdown")).alias("heading_terms"),
-    )
-    return chunks.select("page_url", "chunk_index", tx.token_set(F.col("text")).alias("chunk_terms")).join(
-        marked, "page_url"
-    )
-
-
 def search_corpus(questions: DataFrame, pages: DataFrame, k: int = rt.MAX_K) -> DataFrame:
     """The best chunks of a whole corpus per question: unique pages, chunks, lexical top k,
     hybrid score, threshold and the place of the page among the citations."""
     unique = st.without_copies(pages)
-    # titles and headings travel with the page through the splitter: no join back
-    chunks = ch.chunk_pages(unique)
-    rows = chunks.select(
+    # heading terms travel with the page through the splitter: no join back
+    marked = unique.withColumn("heading_terms", pg.heading_terms(F.col("markdown")))
+    rows = ch.chunk_pages(marked, carry=("heading_terms",)).select(
         "page_url", "chunk_index", tx.token_set(F.col("text")).alias("chunk_terms"),
-        tx.token_set(F.col("page_title")).alias("title_terms"),
-        F.array().cast("array<string>").alias("heading_terms"),
+        tx.token_set(F.col("page_title")).alias("title_terms"), "heading_terms",
     )
     asked = questions.select("query_id", tx.token_set(F.col("question")).alias("query_terms"))
     found = cp.corpus_topk(asked, rows, k)

@@ -2,7 +2,7 @@ import pytest
 
 from quillmine.operators.chunks import hashed_counts
 from quillmine.operators import responses as rs
-from quillmine.plans.answer import answer_questions
+from quillmine.plans.answer import answer_questions, search_corpus
 
 PAGES = [
     ("https://w.example.org/overview", "Billing overview", "confluence", "# Billing overview\n\nThe billing area serves shops and partners with invoices and reminders."),
@@ -53,3 +53,18 @@ def test_response_json_edges(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[1] for r in df.select("i", rs.json_object(df.t)).sort("i").collect()]
     assert got == [None, '{"a": {"b": 1}}', None, None, None]
+
+
+def test_corpus_search_uses_headings_and_drops_copies(spark):
+    rows = [
+        ("u1", "Notes", "generic", "# Validation timeout\n\nAll about waiting."),
+        ("u2", "Notes", "generic", "All about waiting for the validation here."),
+        ("u3", "Notes", "generic", "all about   waiting for the validation here. "),
+    ]
+    pages = spark.createDataFrame(rows, "page_url string, title string, source_type string, markdown string")
+    questions = spark.createDataFrame([(1, "validation timeout")], "query_id long, question string")
+    got = search_corpus(questions, pages).sort("rank").collect()
+    assert [(r.page_url, r.citation) for r in got] == [("u1", 1), ("u2", 2)]
+    # chunk 2/2, heading 2/2; hybrid: base 0.72, chunk 0.20
+    assert abs(got[0].score - ((0.7 + 0.1) * 0.72 + 0.20)) < 1e-9
+    assert abs(got[1].score - (0.35 * 0.72 + 0.10)) < 1e-9
