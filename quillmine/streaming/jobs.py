@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,29 +96,45 @@ def _walk(rows: DataFrame, group: list[str], micros: int, keep_first: bool) -> D
     """Accept rows(key, value, at, seq) in time order within ``group``.
 
     Groups arrive whole and sorted (Spark's sort spills), and two values are carried from batch
-    to batch, so memory does not grow with a group.
+    to batch, so memory does not grow with a group.  Inside a batch the walk jumps from one
+    accepted row to the next by binary search.
     """
+    names = [f"g{i}" for i in range(len(group))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here = last = None
         for batch in batches:
-            taken = []
-            for key, value, at, seq, *names in batch.itertuples(index=False):
-                if names != here:
-                    here, last = names, at
-                    fresh = keep_first
-                else:
-                    fresh = at - last >= micros
-                    last = at if fresh else last
-                if fresh:
-                    taken.append((key, value, at, seq))
-            yield pd.DataFrame(taken, columns=["key", "value", "at", "seq"])
+            if not len(batch):
+                continue
+            at = batch["at"].to_numpy()
+            changed = np.zeros(len(batch), dtype=bool)
+            changed[0] = True
+            for name in names:
+                column = batch[name].to_numpy()
+                changed[1:] |= column[1:] != column[:-1]
+            starts = np.flatnonzero(changed)
+            taken: list[int] = []
+            for start, end in zip(starts, np.append(starts[1:], len(batch))):
+                place = start
+                ident = tuple(batch[name].iat[start] for name in names)
+                if ident != here:
+                    here, last = ident, at[start]
+                    if keep_first:
+                        taken.append(start)
+                    place = start + 1
+                while place < end:
+                    place += int(np.searchsorted(at[place:end], last + micros))
+                    if place < end:
+                        last = at[place]
+                        taken.append(place)
+                        place += 1
+            yield batch.iloc[taken][["key", "value", "at", "seq"]]
 
     named = [F.col(g).alias(f"g{i}") for i, g in enumerate(group)]
     return (
         rows.select("key", "value", "at", "seq", *named)
-        .repartition(*[f"g{i}" for i in range(len(group))])
-        .sortWithinPartitions(*[f"g{i}" for i in range(len(group))], "at", "seq")
+        .repartition(*names)
+        .sortWithinPartitions(*names, "at", "seq")
         .mapInPandas(run, "key string, value string, at long, seq long")
     )
 
