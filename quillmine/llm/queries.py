@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.llm import fingerprints, packing, pii, token_counts
+from quillmine.llm import decontaminate, fingerprints, packing, pii, secrets, simhash, token_counts, url_filter
 from quillmine.llm.common import own_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -50,11 +50,48 @@ def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside an occurrence of a benchmark window, and the items they come from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hit = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return hit.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+URL_RULES = (
+    url_filter.Rule("net", "/", allow=False),
+    url_filter.Rule("example.net", "/en/", allow=True),
+    url_filter.Rule("example.com", "/de/", allow=False),
+    url_filter.Rule("org", "/fr/", allow=True),
+)
+
+
+def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: strong patterns, and weak ones beside a complementary part."""
+    found = secrets.with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    counts = [number_of(kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, held against an edit of it and against the next document."""
     return fingerprints.next_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash and group of near duplicates of every document."""
+    grouped = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in packed sequences."""
     docs = table(spark, sf_dir, "documents").select("doc_id", packing.words().alias("n_tokens"))
@@ -62,6 +99,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_pii_anchors, op8_chunk_fingerprints, op10_best_fit_packing,
+    op1_token_counts, op2_pii_anchors, op3_decontamination, op4_url_verdicts, op6_secret_links,
+    op8_chunk_fingerprints, op9_simhash_groups, op10_best_fit_packing,
 )}
 ORACLES: dict[str, str] = {}
