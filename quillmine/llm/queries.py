@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.llm import decontaminate, fingerprints, packing, pii, secrets, simhash, token_counts, url_filter
+from quillmine.llm import decontaminate, fingerprints, langid, packing, pii, quality, secret_scan, simhash, token_counts, url_filter
 from quillmine.llm.common import own_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -73,14 +73,29 @@ def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.fit_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality.score_quality(docs.withColumn("held_out", quality.held_out()), field)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: strong patterns, and weak ones beside a complementary part."""
-    found = secrets.with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
-    counts = [number_of(kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    found = secret_scan.with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    counts = [number_of(kind).alias(f"n_{kind}") for kind in secret_scan.BASE]
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op7_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = langid.identify(docs.drop("lang").withColumn("held_out", quality.held_out()), langid.fit_languages(docs))
+    return told.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, held against an edit of it and against the next document."""
     return fingerprints.next_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -99,7 +114,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_pii_anchors, op3_decontamination, op4_url_verdicts, op6_secret_links,
-    op8_chunk_fingerprints, op9_simhash_groups, op10_best_fit_packing,
+    op1_token_counts, op2_pii_anchors, op3_decontamination, op4_url_verdicts, op5_quality_lines,
+    op6_secret_links, op7_language_families, op8_chunk_fingerprints, op9_simhash_groups,
+    op10_best_fit_packing,
 )}
 ORACLES: dict[str, str] = {}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.llm.common import without, written
+from quillmine.llm.common import row_key, without, written
 from quillmine.llm.components import connected_components
 from quillmine.session import cut_lineage, ship_package
 
@@ -195,12 +195,30 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     like any other; repeated rows come back as often; rows with a null key get the smallest non-null key
     of their group, or null.
     """
-    prints = written(fingerprints(docs.select(F.col(key), F.col(text)), text, shingle).select(key, "simhash"), "simhash")
-    roots = link_groups(prints, "simhash", bits)
-    least = prints.groupBy("simhash").agg(F.min(key).alias("least"))
-    named = least.join(roots, "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
-    named = cut_lineage(named)
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    prints, groups = _grouped(docs, key, text, shingle, bits)
+    return prints.join(groups, "simhash").select(key, "simhash", F.col("least.key").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of every group of near duplicates: the smallest key, then the smallest text hash.
+
+    Rows with a null key come last, and rows equal in key and text count as one, whichever stays.
+    """
+    _, groups = _grouped(docs, key, text, shingle, bits)
+    kept = written(groups.select(F.col("least.key").alias("__key"), F.col("least.hash").alias("__hash")).distinct(), "simhash-kept")
+    hashed = docs.withColumn("__row", row_key(key, text))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__row") == F.col("__hash"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates([key, "__row"]).drop("__row")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's key, hash and fingerprint; and for every fingerprint the first row of its group."""
+    named = docs.select(F.col(key), F.col(text).alias("__text"), row_key(key, text).alias("hash"))
+    prints = written(fingerprints(named, "__text", shingle).select(key, "hash", "simhash"), "simhash")
+    row = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "hash")
+    first = cut_lineage(prints.groupBy("simhash").agg(F.min(row).alias("least")))
+    roots = link_groups(first, "simhash", bits)
+    rooted = cut_lineage(first.join(roots, "simhash", "left").withColumn("root", F.coalesce("root", "simhash")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
     # checkpointed: a fingerprint of very many copies then meets two plain sides that Spark can split
-    groups = cut_lineage(named.join(smallest, "root").select("simhash", "component_id"))
-    return prints.join(groups, "simhash").select(key, "simhash", "component_id")
+    return prints, cut_lineage(rooted.drop("least").join(least, "root").select("simhash", "least"))

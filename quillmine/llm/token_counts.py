@@ -71,7 +71,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, text: str = "text
     # checkpointed, so that the join below has two plain sides and a digest of very many rows can be split
     known = cut_lineage(stored(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
     digests = without(docs, "digest", "n_tokens").withColumn("digest", F.unhex(F.sha2(normalised(text), 256)))
-    return digests.drop(text).join(known, "digest", "left")
+    digests = digests.drop(text)
+    return digests.join(known, "digest", "left").select(*(F.col(f"`{c}`") for c in digests.columns), "n_tokens")
 
 
 def stored(spark, cache: str, version: str) -> DataFrame:
