@@ -71,11 +71,8 @@ TITLE_TEXT = """trim(regexp_replace(replace(replace(replace(replace(regexp_extra
 @checked("html_title", f"""
 SELECT page_id, CASE WHEN {TITLE_TEXT} <> '' THEN {TITLE_TEXT} ELSE regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) END AS title FROM {{pages}}""")
 def html_title(t):
-    ids = t.pages.select("page_id", F.col("url").alias("page_url"))
-    made = hm.clean_html(t.pages).select(
-        "page_url", hm.title_or(F.col("html_title"), F.lit(""), F.col("page_url")).alias("title")
-    )
-    return ids.join(made, "page_url").select("page_id", "title")
+    title = hm.title_or(hm.page_title(F.col("html")), F.lit(""), F.col("url"))
+    return t.pages.select("page_id", title.alias("title"))
 
 
 @checked("page_quality_filter", f"""

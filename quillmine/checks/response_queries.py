@@ -282,7 +282,9 @@ def evidence_exact(t):
 
 # Greedy use of blocks in issue order: three issues, so three steps.
 CORPUS = f"array_to_string(list_filter([{clean('title')}, {clean('evidence')}, {clean('risk')}, {clean('suggestion')}], lambda p: p <> ''), '. ')"
-FUZZY = f"""asked AS (SELECT response_id, issue_index, list_distinct({d.word_tokens(CORPUS)}) AS tokens FROM {{issue_rows}}),
+# Only issues without an exact match are searched.
+FUZZY = f"""asked AS (SELECT response_id, issue_index, list_distinct({d.word_tokens(CORPUS)}) AS tokens FROM {{issue_rows}}
+  WHERE (response_id, issue_index) NOT IN (SELECT (response_id, issue_index) FROM exact)),
 blocks AS (SELECT response_id, block_index, length({clean('text')}) AS n_chars, list_distinct({d.word_tokens(clean('text'))}) AS tokens FROM {{text_blocks}}),
 scored AS (SELECT *, m / n + m * 0.03::DOUBLE - greatest(0, n_chars - 320) / 2000 AS score FROM (
   SELECT a.response_id, a.issue_index, b.block_index, b.n_chars, len(a.tokens) AS n, len(list_intersect(a.tokens, b.tokens)) AS m
@@ -295,18 +297,24 @@ f3 AS (SELECT s.response_id, arg_min(s.block_index, (-s.score, s.block_index)) A
   WHERE s.issue_index = 3 AND s.block_index IS DISTINCT FROM f1.block_index AND s.block_index IS DISTINCT FROM f2.block_index GROUP BY 1)"""
 
 
-@checked("evidence_fuzzy", f"""WITH {FUZZY} SELECT response_id, CAST(1 AS BIGINT) AS issue_index, CAST(block_index AS BIGINT) AS block_index, round(score, 6) AS score FROM f1
-UNION ALL SELECT response_id, 2, block_index, round(score, 6) FROM f2 UNION ALL SELECT response_id, 3, block_index, round(score, 6) FROM f3""")
+MATCHES = f"""{CANDIDATES}, {EXACT}, {FUZZY},
+matches AS (SELECT response_id, CAST(issue_index AS BIGINT) AS issue_index, CAST(block_index AS BIGINT) AS block_index, 'exact' AS method FROM exact
+  UNION ALL SELECT response_id, 1, block_index, 'fuzzy' FROM f1 UNION ALL SELECT response_id, 2, block_index, 'fuzzy' FROM f2
+  UNION ALL SELECT response_id, 3, block_index, 'fuzzy' FROM f3)"""
+
+
+@checked("evidence_fuzzy", f"WITH {MATCHES} SELECT response_id, issue_index, block_index, method FROM matches")
 def evidence_fuzzy(t):
-    return ev.fuzzy_matches(t.issue_rows, t.text_blocks)
+    """Exact matches, and fuzzy ones for the issues that have none."""
+    return ev.evidence_matches(t.issue_rows, t.text_blocks)
 
 
-@checked("evidence_summary", f"""WITH {CANDIDATES}, {EXACT}
-SELECT i.response_id, count(*) AS total_issues, count(e.rn) AS matched_issues, count(e.rn) FILTER (severity = 'high') AS matched_high,
-  count(e.rn) FILTER (severity = 'medium') AS matched_medium, count(e.rn) FILTER (severity = 'low') AS matched_low
-FROM {{issue_rows}} i LEFT JOIN exact e USING (response_id, issue_index) GROUP BY 1""")
+@checked("evidence_summary", f"""WITH {MATCHES}
+SELECT i.response_id, count(*) AS total_issues, count(m.method) AS matched_issues, count(m.method) FILTER (severity = 'high') AS matched_high,
+  count(m.method) FILTER (severity = 'medium') AS matched_medium, count(m.method) FILTER (severity = 'low') AS matched_low
+FROM {{issue_rows}} i LEFT JOIN matches m USING (response_id, issue_index) GROUP BY 1""")
 def evidence_summary(t):
-    return ev.evidence_summary(t.issue_rows, exact(t))
+    return ev.evidence_summary(t.issue_rows, ev.evidence_matches(t.issue_rows, t.text_blocks))
 
 
 # --- dedupe -------------------------------------------------------------------------------
@@ -419,12 +427,12 @@ def fresh_table(t, name):
 
 
 @checked("sink_pinned_append", """SELECT url, title FROM {pinned} UNION ALL
-SELECT page_url, title FROM {doc_pages} WHERE source_type = 'jira' AND page_url NOT IN (SELECT url FROM {pinned})""")
+SELECT page_url, title FROM {doc_pages} WHERE page_url NOT IN (SELECT url FROM {pinned})""")
 def sink_pinned_append(t):
     """The table after the append, read back."""
     path = fresh_table(t, "pinned")
     st.append(t.pinned.select("url", "title"), path)
-    fetched = t.doc_pages.filter("source_type = 'jira'").select(F.col("page_url").alias("url"), "title")
+    fetched = t.doc_pages.select(F.col("page_url").alias("url"), "title")
     st.append(st.new_pins(t.spark.read.parquet(path), fetched), path)
     return t.spark.read.parquet(path)
 
@@ -432,41 +440,46 @@ def sink_pinned_append(t):
 SIG = f"sha1({d.strip(d.collapse('lower(markdown)'))})"
 
 
-# URLs made unique, as a page table has them.
-PAGE_KEY = "page_url || '#' || CAST(page_no AS VARCHAR(20))"
-
-
-@checked("sink_corpus_cache", f"""SELECT {SIG} AS content_signature, min({PAGE_KEY}) AS page_url FROM {{near_pages}}
+@checked("sink_corpus_cache", f"""SELECT {SIG} AS content_signature, min(page_url) AS page_url FROM {{near_pages}}
 WHERE {SIG} NOT IN (SELECT {SIG} FROM {{doc_pages}} WHERE source_type = 'confluence') GROUP BY 1""")
 def sink_corpus_cache(t):
+    """Pages whose text is new, one per text, also where texts share a URL."""
     known = t.doc_pages.filter("source_type = 'confluence'").select(pg.content_signature(F.col("markdown")).alias("content_signature"))
     path = fresh_table(t, "corpus")
     st.append(known, path)
-    pages = t.near_pages.select(F.expr(PAGE_KEY).alias("page_url"), "markdown")
+    pages = t.near_pages.select("page_url", "markdown")
     return st.unseen_pages(pages, t.spark.read.parquet(path)).select("content_signature", "page_url")
 
 
+# Some requests repeat their pages often enough to break the page limit.
+REQUEST_PAGES = """SELECT b.*, p.markdown, k, row_number() OVER (PARTITION BY query_id ORDER BY k, original_index) AS position,
+  count(*) OVER (PARTITION BY query_id) AS n_pages FROM {turn_basket} b JOIN {doc_pages} p USING (page_url), (SELECT unnest([0, 1, 2, 3]) AS k) r
+WHERE k = 0 OR query_id % 5 = 0"""
+
+
 @checked("src_requests_json", f"""
-SELECT b.query_id, {d.strip('q.question')} AS question, q.mode, b.original_index + 1 AS position, 'T' || CAST(b.original_index AS VARCHAR) AS title, b.page_url AS url,
-  CASE b.original_index % 3 WHEN 0 THEN 'jira' WHEN 1 THEN 'generic' ELSE {d.source_type('b.page_url')} END AS source_type, b.context_role, false AS rejected
-FROM {{turn_basket}} b JOIN {{turn_questions}} q USING (query_id)""")
+SELECT b.query_id, {d.strip('q.question')} AS question, q.mode, b.position, 'T' || CAST(b.original_index AS VARCHAR) AS title, b.page_url AS url, md5({d.strip('b.markdown')}) AS markdown_md5,
+  CASE b.original_index % 3 WHEN 0 THEN 'jira' WHEN 1 THEN 'generic' ELSE {d.source_type('b.page_url')} END AS source_type, b.context_role, b.n_pages > 20 AS rejected
+FROM ({REQUEST_PAGES}) b JOIN {{turn_questions}} q USING (query_id)""")
 def src_requests_json(t):
     """Requests rebuilt as JSON with the key aliases clients send, then parsed."""
     page = F.to_json(F.struct(
         F.concat(F.lit(" T"), F.col("original_index").cast("string")).alias("title"), F.col("page_url").alias("url"),
-        F.lit("text ").alias("markdown"),
+        "markdown",
         F.when(F.col("original_index") % 3 == 0, " JIRA").alias("source_type"),
         F.when(F.col("original_index") % 3 == 1, "blog").alias("sourceType"),
         F.struct("context_role").alias("metadata"),
     ))
-    grouped = t.turn_basket.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("original_index", page.alias("p")))).alias("x"))
+    copies = F.when(F.col("query_id") % 5 == 0, F.array(*map(F.lit, range(4)))).otherwise(F.array(F.lit(0)))
+    rows = t.turn_basket.join(t.doc_pages.select("page_url", "markdown"), "page_url").withColumn("k", F.explode(copies))
+    grouped = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("k", "original_index", page.alias("p")))).alias("x"))
     body = F.concat(
         F.lit('{"pages": ['), F.array_join(F.transform("x", lambda s: s["p"]), ", "), F.lit('], '),
         F.expr("substring(to_json(named_struct('userQuestion', question, 'mode', raw_mode)), 2)"),
     )
     requests = grouped.join(t.turn_questions, "query_id").select("query_id", body.alias("body"))
     return rq.parse_requests(requests).select(
-        "query_id", "question", "mode", "position", "title", "url", "source_type",
+        "query_id", "question", "mode", "position", "title", "url", F.md5("markdown").alias("markdown_md5"), "source_type",
         F.col("metadata")["context_role"].alias("context_role"), "rejected",
     )
 
@@ -499,9 +512,9 @@ def fn_shorten(t):
     return t.documents.select("doc_id", tx.shorten(F.col("text"), 160).alias("short"))
 
 
-@checked("fn_slug", "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM {documents}")
+@checked("fn_slug", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM {documents}")
 def fn_slug(t):
-    return t.documents.select("doc_id", tx.slug(F.substring("text", 1, 60)).alias("slug"))
+    return t.documents.select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 @checked("fn_sigmoid_unit", """SELECT event_id, round(CASE WHEN value / 10 - 3 BETWEEN 0 AND 1 THEN value / 10 - 3 ELSE 1 / (1 + exp(-(value / 10 - 3))) END, 6) AS unit FROM {events}""")

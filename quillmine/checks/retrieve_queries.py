@@ -25,16 +25,25 @@ def chunk_split(t):
 
 
 @checked("chunk_corpus", f"""
-WITH short AS (SELECT page_url, {d.strip('markdown')} AS text FROM {{doc_pages}}
-  WHERE length(markdown) <= 1000 AND {d.strip('markdown')} <> '')
-SELECT page_url, CAST(0 AS BIGINT) AS chunk_index, CAST(length(text) AS BIGINT) AS char_end, text FROM short
-WHERE length(text) > 0""")
+SELECT page_url, true AS placed, true AS sized, true AS first, true AS last, true AS numbered,
+  CASE WHEN length(markdown) <= 1000 THEN md5(text) END AS whole FROM (SELECT *, {d.strip('markdown')} AS text FROM {{doc_pages}}) WHERE text <> ''""")
 def chunk_corpus(t):
-    """Pages that fit one chunk come out whole; longer ones are checked in the tests."""
-    size = F.length("markdown")
-    cut = ch.chunk_pages(t.doc_pages)
-    whole = t.doc_pages.filter(size <= rules.CHUNK_SIZE).select("page_url")
-    return cut.join(whole, "page_url", "left_semi").select("page_url", "chunk_index", "char_end", "text")
+    """What holds for the chunks of every page: each stands in the page and fits, they begin and end with it.
+
+    A page that fits one chunk comes out whole.
+    """
+    texts = t.doc_pages.select("page_url", "markdown", tx.strip(F.col("markdown")).alias("whole"))
+    rows = ch.chunk_pages(t.doc_pages).join(texts, "page_url")
+    at, n = F.col("chunk_index"), F.col("total_chunks")
+    kept = F.length("markdown") <= rules.CHUNK_SIZE
+    return rows.groupBy("page_url").agg(
+        F.every(F.contains("whole", "text")).alias("placed"),
+        F.every(F.length("text").between(1, rules.CHUNK_SIZE)).alias("sized"),
+        F.every((at > 0) | F.startswith("whole", "text")).alias("first"),
+        F.every((at < n - 1) | F.endswith("whole", "text")).alias("last"),
+        (F.count("*") == F.max("total_chunks")).alias("numbered"),
+        F.max(F.when(kept, F.md5("text"))).alias("whole"),
+    )
 
 
 @checked("chunk_offsets", """
@@ -114,19 +123,13 @@ def centroids(t):
 
 
 @checked("vec_normalize", """
-SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 3) ** 2)) / 9, 5) AS before,
-  round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS first_value,
-  round(embedding[64]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS last_value
-FROM {embeddings}""")
+SELECT vec_id, unnest(range(len(embedding))) AS place, round(unnest(list_transform(embedding, lambda x: x::DOUBLE / sqrt(length2))), 5) AS value
+FROM (SELECT *, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS length2 FROM {embeddings})""")
 def vec_normalize(t):
+    """Every value of every vector, after scaling it by three."""
     scaled = F.transform("embedding", lambda x: x.cast("double") * 3)
-    rows = t.embeddings.select("vec_id", "embedding", vx.normalize(scaled).alias("v"))
-    return rows.select(
-        "vec_id",
-        F.round(vx.dot(F.col("embedding"), F.col("embedding")), 5).alias("before"),
-        F.round(F.col("v")[0], 5).alias("first_value"),
-        F.round(F.col("v")[63], 5).alias("last_value"),
-    )
+    rows = t.embeddings.select("vec_id", F.posexplode(vx.normalize(scaled)).alias("place", "value"))
+    return rows.select("vec_id", "place", F.round("value", 5).alias("value"))
 
 
 @checked("vec_cosine", f"""
@@ -239,14 +242,11 @@ dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 
 @checked("cand_route", chain("lexical", "").rstrip() + f""", {DENSE}
-SELECT query_id, strategy, count(*) AS n, round(max(score), 4) AS best, round(min(score), 4) AS worst FROM (
-  SELECT query_id, score, 'dense+hybrid' AS strategy FROM dense
-  UNION ALL SELECT query_id, score, 'lexical-fallback' FROM lexical WHERE query_id NOT IN (SELECT query_id FROM dense)) GROUP BY 1, 2""")
+SELECT query_id, page_url, chunk_index, round(score, 4) AS score, 'dense+hybrid' AS strategy FROM dense
+UNION ALL SELECT query_id, page_url, chunk_index, round(score, 4), 'lexical-fallback' FROM lexical WHERE query_id NOT IN (SELECT query_id FROM dense)""")
 def cand_route(t):
     routed = rt.route_candidates(dense(t), lexical(t))
-    return routed.groupBy("query_id", "strategy").agg(
-        F.count("*").alias("n"), F.round(F.max("score"), 4).alias("best"), F.round(F.min("score"), 4).alias("worst")
-    )
+    return routed.select("query_id", "page_url", "chunk_index", F.round("score", 4).alias("score"), "strategy")
 
 
 @checked("cand_priority_fallback", chain("profiles", """
@@ -268,18 +268,25 @@ def score_hybrid(t):
     return rt.hybrid_scores(lexical(t)).select(*SCORED)
 
 
-MODEL = "((query_id * 7 + chunk_index * 17 + original_index * 31) % 2000 - 1000) / 100.0"
+# A pair model that SQL can repeat: it sees nothing but the lengths of the two texts.
+MODEL = "((length(question) * 37 + length(pair_text) * 11) % 2000 - 1000) / 100.0"
+
+
+def pair_lengths(question, text):
+    return ((question.str.len() * 37 + text.str.len() * 11) % 2000 - 1000) / 100.0
 
 
 @checked("score_rerank", chain("hybrid", f"""
-, m AS (SELECT *, {MODEL} AS m FROM hybrid),
+, m AS (SELECT h.*, {MODEL} AS m FROM hybrid h JOIN asked a USING (query_id) JOIN (SELECT page_url, chunk_index, 'Title: ' || page_title || chr(10) || 'Source type: '
+    || source_type || chr(10) || 'Chunk ' || (chunk_index + 1) || ' of ' || total_chunks || chr(10) || 'Content:' || chr(10) || text AS pair_text FROM {{line_chunks}}) c USING (page_url, chunk_index)),
  n AS (SELECT *, CASE WHEN m BETWEEN 0 AND 1 THEN m ELSE 1 / (1 + exp(-m)) END AS u FROM m),
  x AS (SELECT * REPLACE (CASE WHEN rank <= 12 THEN u * 0.8 + score * 0.2 ELSE score END AS score) FROM n)
 SELECT query_id, page_url, chunk_index, round(score::DOUBLE, 6) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY rank > 12, CASE WHEN rank <= 12 THEN round(score, 12) END DESC NULLS LAST, rank) AS rank FROM x"""))
 def score_rerank(t):
-    model = F.expr(MODEL).cast("double")
-    return rt.rerank_scores(rt.hybrid_scores(lexical(t)), model).select(*SCORED)
+    hybrid = t.once("hybrid", lambda: rt.hybrid_scores(lexical(t)))
+    scored = rt.model_scores(hybrid, questions(t), t.line_chunks, pair_lengths)
+    return rt.rerank_scores(scored, F.col("model_score")).select(*SCORED)
 
 
 @checked("score_page_quality", chain("quality", SCORE + "quality"))
@@ -394,16 +401,12 @@ def select_budget(t):
     return sl.select_budget(capped(t)).select("query_id", "page_url", "chunk_index", "select_rank")
 
 
-# For the steps after selection: every second candidate, which leaves gaps to stitch.
-PICKED = """picked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS select_rank FROM capped WHERE chunk_index % 2 = 0)"""
+# The steps after selection start from what it chose.
+PICKED = f"{WALK}, picked AS (SELECT * FROM selected)"
 
 
 def picked(t):
-    def make():
-        rows = capped(t).filter("chunk_index % 2 = 0")
-        return rt.ranked(rows, F.col("rank"), name="select_rank")
-
-    return t.once("picked", make)
+    return t.once("picked", lambda: sl.select_budget(capped(t)))
 
 
 BRIDGES = """bridges AS (SELECT query_id, page_url, unnest(range(chunk_index + 1, nxt)) AS chunk_index, 0 AS strategy_rank, nxt - chunk_index - 1 AS distance,

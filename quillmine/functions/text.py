@@ -47,10 +47,6 @@ def contains_any(col: Column, words: Sequence[str]) -> Column:
     return found
 
 
-def first_match(col: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract(col, pattern, group)
-
-
 def all_matches(col: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col, F.lit(pattern), F.lit(group))
 

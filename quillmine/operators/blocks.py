@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def block_count(rows: int, block_rows: int) -> int:
     return max(1, -(-rows // block_rows))
@@ -16,20 +15,38 @@ def block_of(n_blocks: int):
     return F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
 
 
-def meet(
-    tiles: DataFrame, blocks: DataFrame, n_blocks: int, size: int, tile_key: str, salts: int = 16,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Every tile with every block, as an equi-join on the block number.
+def meet(tiles: DataFrame, blocks: DataFrame, n_blocks: int, tile_keys: tuple[str, ...], salts: int | None = None) -> DataFrame:
+    """Every tile with every block, as an equi-join on the block number and a salt.
 
-    ``size`` is the counted size of all blocks in bytes.  Up to the limit they are broadcast and
-    tiles stay where they are.  Beyond it tiles are shuffled, and a salt spreads the tiles that
-    meet one block over many tasks.
+    Spark broadcasts the blocks where their size allows and shuffles both sides otherwise.  All
+    tiles meet each block, so the salt, a hash of what tells tiles apart, spreads a block's tiles over
+    as many tasks as the session has shuffle partitions for it.
     """
+    if salts is None:
+        salts = max(1, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_blocks)
     numbers = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
-    placed = tiles.withColumn("block", F.explode(numbers))
-    if size <= broadcast_bytes:
-        return placed.join(F.broadcast(blocks), "block")
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64(tile_key), F.lit(salts)).cast("int"))
+    salt = F.pmod(F.xxhash64(*tile_keys), F.lit(salts)).cast("int")
+    placed = tiles.withColumn("salt", salt).withColumn("block", F.explode(numbers))
     copies = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["block", "salt"])
+    return placed.join(copies, ["block", "salt"])
+
+
+class TopRows:
+    """The best ``k`` rows per question among all that a task has seen; ties follow ``order``."""
+
+    def __init__(self, k: int, order: list[str], ascending: list[bool], hold: int = 200_000):
+        self.k, self.order, self.ascending, self.hold = k, order, ascending, hold
+        self.parts: list[pd.DataFrame] = []
+        self.rows = 0
+
+    def add(self, part: pd.DataFrame) -> None:
+        self.parts.append(part)
+        self.rows += len(part)
+        if self.rows > self.hold:
+            kept = self.best()
+            self.parts, self.rows = [kept], len(kept)
+            self.hold = max(self.hold, 2 * len(kept))
+
+    def best(self) -> pd.DataFrame:
+        rows = pd.concat(self.parts, ignore_index=True)
+        return rows.sort_values(self.order, ascending=self.ascending, kind="stable").groupby("query_id", sort=False).head(self.k)

@@ -1,10 +1,10 @@
 """Exact lexical search of many questions over a whole corpus.
 
 Same shape as the dense search: chunks are packed into tiles where they lie, questions into
-bounded blocks, both meet as ``blocks.meet`` describes, and a task returns at most k rows per
-question and tile.  What is shuffled grows with tiles x questions
-x k, not with the matching (question, chunk) pairs, and no term becomes a join key, so a term
-that occurs everywhere costs no more than its counting.
+bounded blocks, both meet as ``blocks.meet`` describes, and a task keeps the best k rows per
+question over all its tiles.  What is shuffled grows with tasks x questions x k, not with the
+matching (question, chunk) pairs, and no term becomes a join key, so a term that occurs
+everywhere costs no more than its counting.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmine import rules
-from quillmine.operators.blocks import block_count, block_of, meet
+from quillmine.operators.blocks import TopRows, block_count, block_of, meet
 from quillmine.operators.retrieve import MAX_K
 
 TILE_SCHEMA = (
@@ -81,17 +81,14 @@ class _Block:
 
 
 def corpus_topk(
-    questions: DataFrame, chunks: DataFrame, k: int = MAX_K, block_rows: int = 512, **how
+    questions: DataFrame, chunks: DataFrame, k: int = MAX_K, block_rows: int = 512, salts: int | None = None
 ) -> DataFrame:
     """questions(query_id, query_terms): top k chunks of the corpus by lexical score > 0.
 
     Ties go to the smaller (page_url, chunk_index).
     """
     w = rules.LEXICAL_WEIGHTS
-    n_questions, n_bytes = questions.agg(
-        F.count("*"), F.coalesce(F.sum(F.length(F.concat_ws(" ", "query_terms")) + 8 * F.size("query_terms")), F.lit(0))
-    ).first()
-    n_blocks = block_count(n_questions, block_rows)
+    n_blocks = block_count(questions.count(), block_rows)
     blocks = (
         questions.filter(F.size("query_terms") > 0)
         .withColumn("block", block_of(n_blocks))
@@ -100,10 +97,11 @@ def corpus_topk(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[int, _Block] = {}
+        top = TopRows(k, ["score", "page_url", "chunk_index"], [False, True, True])
         for batch in batches:
             for row in batch.itertuples(index=False):
                 if row.block not in made:
-                    made = {row.block: _Block(row.asked)}
+                    made[row.block] = _Block(row.asked)
                 block = made[row.block]
                 keys = pd.DataFrame({"u": list(row.urls), "i": list(row.indexes)})
                 by_key = keys.sort_values(["u", "i"]).index.to_numpy()
@@ -118,13 +116,15 @@ def corpus_topk(
                 keep = score[at, q] > 0
                 at, q = at[keep], q[keep]
                 names = keys.iloc[by_key[at]]
-                yield pd.DataFrame({
+                top.add(pd.DataFrame({
                     "query_id": block.ids[q], "page_url": names["u"].to_numpy(), "chunk_index": names["i"].to_numpy(),
                     "chunk_overlap": chunk[at, q], "title_overlap": title[at, q],
                     "heading_overlap": heading[at, q], "score": score[at, q],
-                })
+                }))
+        if top.parts:
+            yield top.best()
 
-    met = meet(pack_chunks(chunks), blocks, n_blocks, n_bytes + 16 * n_questions, "indexes", **how)
+    met = meet(pack_chunks(chunks), blocks, n_blocks, ("urls", "indexes"), salts)
     local = met.select("block", "asked", "urls", "indexes", *SETS).mapInPandas(run, OUT_SCHEMA)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "page_url", "chunk_index")
     return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn(

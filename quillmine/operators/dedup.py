@@ -13,13 +13,15 @@ passes give a different answer.  Two forms:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmine import rules
 from quillmine.functions import text as tx
 from quillmine.operators.retrieve import ranked
-from quillmine.session import cut_lineage
+from quillmine.session import cut_lineage, shared_folder
 
 
 def walk_key() -> Column:
@@ -59,12 +61,14 @@ def dedup_basket(profiles: DataFrame) -> DataFrame:
 
 
 def dedup_rounds(
-    profiles: DataFrame, group: str | None = None, max_rounds: int = 50
+    profiles: DataFrame, group: str | None = None
 ) -> DataFrame:
-    """Kept profiles for groups of any size; raises rather than return a partial answer.
+    """Kept profiles for groups of any size and chains of any length.
 
     ``group`` names the column whose values are deduplicated apart; without it the whole table
-    is one group.  ``page_id`` must be unique and is the last rank key.
+    is one group.  ``page_id`` must be unique and is the last rank key.  Every round decides at
+    least the best open page, so the rounds end; its winners are appended to a table in the shared
+    folder.
     """
     scope = F.col(group).cast("string") if group else F.lit("")
     rank = F.struct(
@@ -82,8 +86,8 @@ def dedup_rounds(
             F.sha2(F.concat_ws("\x00", scope, "content_signature"), 256).alias("text_key"),
         )
     )
-    kept = None
-    for _ in range(max_rounds):
+    folder = f"{shared_folder(profiles.sparkSession)}/dedup-{uuid.uuid4().hex}"
+    while not open_rows.isEmpty():
         best_url = open_rows.groupBy("url_key").agg(F.min("rank").alias("best_url"))
         best_text = open_rows.groupBy("text_key").agg(F.min("rank").alias("best_text"))
         judged = open_rows.join(best_url, "url_key").join(best_text, "text_key")
@@ -91,16 +95,16 @@ def dedup_rounds(
             judged.filter((F.col("rank") == F.col("best_url")) & (F.col("rank") == F.col("best_text")))
             .select("page_id", "url_key", "text_key")
         )
-        kept = won.select("page_id") if kept is None else kept.unionByName(won.select("page_id"))
+        won.select("page_id").write.mode("append").parquet(folder)
         # one winner per key, so these anti-joins have unique right sides
         open_rows = cut_lineage(
             open_rows.join(won.select("url_key"), "url_key", "left_anti").join(
                 won.select("text_key"), "text_key", "left_anti"
             )
         )
-        if open_rows.isEmpty():
-            return profiles.join(kept, "page_id", "left_semi")
-    raise RuntimeError(f"pages still undecided after {max_rounds} rounds")
+    profiles.select("page_id").limit(0).write.mode("append").parquet(folder)
+    kept = profiles.sparkSession.read.schema(profiles.select("page_id").schema).parquet(folder)
+    return profiles.join(kept, "page_id", "left_semi")
 
 
 def dedup_stats(walked: DataFrame, high: float = rules.HIGH_PRIORITY) -> DataFrame:

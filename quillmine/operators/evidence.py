@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmine.functions import text as tx
+from quillmine.session import cut_lineage
 
 # Search limits
 EXACT_MIN_CHARS = 18
@@ -144,6 +145,18 @@ def fuzzy_matches(issues: DataFrame, blocks: DataFrame) -> DataFrame:
     ).select("response_id", "m.issue_index", "m.block_index", "m.score")
 
 
+def evidence_matches(issues: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(response_id, issue_index, block_index, method): exact where a candidate occurs, else fuzzy.
+
+    Fuzzy search is tried only for issues without an exact match, so these never take a block from
+    each other; exact matches do not use blocks up.
+    """
+    exact = cut_lineage(exact_matches(candidates(issues), blocks).select(*KEY, "block_index"))
+    rest = issues.join(exact.select(*KEY), KEY, "left_anti")
+    fuzzy = fuzzy_matches(rest, blocks).select(*KEY, "block_index")
+    return exact.withColumn("method", F.lit("exact")).unionByName(fuzzy.withColumn("method", F.lit("fuzzy")))
+
+
 def evidence_summary(issues: DataFrame, matched: DataFrame) -> DataFrame:
     """Per response: issues, matches and matches by severity."""
     hits = matched.select(*KEY).distinct().withColumn("hit", F.lit(True))

@@ -7,6 +7,7 @@ Column expressions on the result.  No shuffle.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from html import escape
@@ -55,17 +56,21 @@ MARKDOWN_ESCAPES = [
     )
 ]
 WEB_SPACES = rules.WEB_SPACE_CHARS
+#: Elements nested deeper become siblings, as in browsers, so that no page is too deep to walk.
+MAX_DEPTH = 512
+#: Character references that titles use.
+TITLE_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up")
+    __slots__ = ("tag", "attrs", "kids", "up", "depth")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.kids, self.up = tag, attrs or {}, [], None
+        self.tag, self.attrs, self.kids, self.up, self.depth = tag, attrs or {}, [], None, 0
 
     def add(self, kid: Node | str) -> None:
         if isinstance(kid, Node):
-            kid.up = self
+            kid.up, kid.depth = self, self.depth + 1
         self.kids.append(kid)
 
     def walk(self) -> Iterator[Node]:
@@ -107,7 +112,7 @@ class _Tree(HTMLParser):
             self._end(*SIBLING_ENDS[tag])
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
         self.here.add(node)
-        if tag not in VOID:
+        if tag not in VOID and node.depth < MAX_DEPTH:
             self.here = node
 
     def handle_startendtag(self, tag, attrs):
@@ -121,9 +126,11 @@ class _Tree(HTMLParser):
         self.here.add(data)
 
 
-def parse(html: str) -> Node:
+def parse(html: str | None) -> Node:
+    """The tree of a page; a null page is empty."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
     tree = _Tree()
-    tree.feed(html)
+    tree.feed(html or "")
     tree.close()
     return tree.root
 
@@ -235,7 +242,11 @@ def to_html(node: Node) -> str:
 
 
 def absolute(href: str, base: str) -> str:
-    return quote(urljoin(base, href.strip()), safe="%/:=&?~#+!$,;'@()*[]|")
+    """The absolute address; what cannot be joined stays as it is."""
+    try:
+        return quote(urljoin(base or "", href.strip()), safe="%/:=&?~#+!$,;'@()*[]|")
+    except ValueError:
+        return href.strip()
 
 
 # --- Markdown ----------------------------------------------------------------------
@@ -430,6 +441,14 @@ def markdown_cleanup(markdown: Column) -> Column:
     return tx.web_strip(gaps)
 
 
+def page_title(html: Column) -> Column:
+    """Text of the first title element, references decoded and white space collapsed; empty without one."""
+    out = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    for name, char in TITLE_ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.coalesce(tx.web_strip(F.regexp_replace(out, tx.WEB_SPACE_RUN, " ")), F.lit(""))
+
+
 def title_or(html_title: Column, given: Column, url: Column) -> Column:
     return tx.or_else(html_title, given, urls.hostname(url))
 

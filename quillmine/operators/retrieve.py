@@ -22,7 +22,12 @@ from quillmine import rules
 from quillmine.functions import text as tx
 from quillmine.functions import vectors as vx
 
-MAX_K = 20
+def largest_k(policies: dict[str, dict] = rules.BUDGET_POLICIES) -> int:
+    """The most candidates any policy of the table allows; a question's own policy cuts further."""
+    return max(values["max_candidates"] for values in policies.values())
+
+
+MAX_K = largest_k()
 
 
 def per_query() -> WindowSpec:
@@ -187,6 +192,25 @@ def pair_scorer(scorer: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable
     return score
 
 
+def model_scores(
+    candidates: DataFrame, questions: DataFrame, chunks: DataFrame,
+    scorer: Callable[[pd.Series, pd.Series], pd.Series], top: int = rules.RERANK_TOP,
+) -> DataFrame:
+    """Candidates with ``model_score`` for the best ``top`` rows of each question, null behind them.
+
+    chunks(page_url, chunk_index, total_chunks, page_title, source_type, text).  Question and chunk
+    texts are joined to those rows alone, and the caller's ``(questions, texts) -> scores`` runs once
+    over each pair, batch by batch.
+    """
+    keys = ["query_id", "page_url", "chunk_index"]
+    read = pair_text(F.col("page_title"), F.col("source_type"), F.col("chunk_index"), F.col("total_chunks"), F.col("text"))
+    texts = chunks.select("page_url", "chunk_index", read.alias("pair_text"))
+    head = candidates.filter(F.col("rank") <= top).select(*keys)
+    pairs = head.join(texts, ["page_url", "chunk_index"]).join(questions.select("query_id", "question"), "query_id")
+    scored = pairs.select(*keys, pair_scorer(scorer)(F.col("question"), F.col("pair_text")).alias("model_score"))
+    return candidates.join(scored, keys, "left")
+
+
 def page_quality_scores(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
     """Weight by page priority; rows without a profile keep their score."""
     w = rules.PAGE_QUALITY_WEIGHTS

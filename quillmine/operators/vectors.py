@@ -1,8 +1,8 @@
 """Exact dense search over a whole corpus, as blocks of questions against tiles of vectors.
 
 Tiles are packed inside the partitions the vectors already lie in (no shuffle), blocks hold a
-bounded number of questions, and both meet as ``blocks.meet`` describes.  Each task returns at
-most k rows per question and tile, and a window takes the global top k.
+bounded number of questions, and both meet as ``blocks.meet`` describes.  A task keeps the best k
+rows per question over all its tiles, and a window takes the global top k.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmine.operators.blocks import block_count, block_of, meet
-
+from quillmine.operators.blocks import TopRows, block_count, block_of, meet
 
 
 def _matrix(rows: list, dims: int) -> np.ndarray:
@@ -47,35 +46,38 @@ def vector_topk(
     k: int,
     dims: int,
     block_rows: int = 1024,
-    **how,
+    salts: int | None = None,
 ) -> DataFrame:
     """questions(query_id, embedding) against corpus(vec_id, embedding): top k by cosine."""
-    n_questions = questions.count()
-    n_blocks = block_count(n_questions, block_rows)
+    n_blocks = block_count(questions.count(), block_rows)
     blocks = questions.withColumn("block", block_of(n_blocks)).groupBy("block").agg(
         F.collect_list(F.struct("query_id", F.col("embedding").cast("array<double>").alias("embedding"))).alias("asked")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        top = TopRows(k, ["rounded", "vec_id"], [False, True])
         for batch in batches:
-            for keys, data, asked in zip(batch["keys"], batch["data"], batch["asked"]):
+            for block, keys, data, asked in zip(batch["block"], batch["keys"], batch["data"], batch["asked"]):
+                if block not in made:
+                    ids = np.array([row["query_id"] for row in asked], dtype=np.int64)
+                    made[block] = ids, _matrix([row["embedding"] for row in asked], dims)
+                ids, questions_of = made[block]
                 tile = np.frombuffer(data, dtype=np.float64).reshape(len(keys), dims)
-                ids = [row["query_id"] for row in asked]
-                scores = _matrix([row["embedding"] for row in asked], dims) @ tile.T
-                keys = np.asarray(keys)
-                # ties at the edge must survive to the global ranking: (score desc, key asc)
-                order = np.lexsort((np.broadcast_to(keys, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(ids, order.shape[1]),
-                        "vec_id": keys[order].ravel(),
-                        "score": np.take_along_axis(scores, order, axis=1).ravel(),
-                    }
-                )
+                scores = questions_of @ tile.T
+                rounded = np.round(scores, 12)
+                # everything that ties with the k-th best stays: keys decide over all tiles
+                edge = -np.partition(-rounded, k - 1, axis=1)[:, k - 1:k] if len(keys) > k else -np.inf
+                q, at = np.nonzero(rounded >= edge)
+                top.add(pd.DataFrame({
+                    "query_id": ids[q], "vec_id": np.asarray(keys)[at], "score": scores[q, at], "rounded": rounded[q, at],
+                }))
+        if top.parts:
+            yield top.best().drop(columns="rounded")
 
     tiles = pack(corpus, "vec_id", "embedding", dims)
-    met = meet(tiles, blocks, n_blocks, n_questions * (dims + 2) * 8, "keys", **how)
-    local = met.select("keys", "data", "asked").mapInPandas(
+    met = meet(tiles, blocks, n_blocks, ("keys",), salts)
+    local = met.select("block", "keys", "data", "asked").mapInPandas(
         run, "query_id long, vec_id long, score double"
     )
     best = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmine import rules
@@ -62,20 +62,29 @@ def answer_questions(
     provider: str = "openai",
     models: dict[str, tuple[str, str]] | None = None,
     encoder_factory: Callable | None = None,
-    model_score: Column | None = None,
+    pair_model: Callable | None = None,
     token_counter: Callable | None = None,
+    policies: dict[str, dict] = rules.BUDGET_POLICIES,
+    max_pages: int | None = None,
 ) -> Answer:
     """Run the whole path for a table of questions.
 
     questions(query_id, question, mode), basket(query_id, page_url, original_index,
     context_role), pages(page_url, title, markdown, source_type).  Without an encoder the
     lexical route is taken, as it is when a question has no embedding.
+
+    ``pair_model``: ``(questions, chunk texts) -> scores`` over pandas series, asked for the best
+    candidates of each question only.
+    ``policies``: the limits by policy; each question gets as many candidates as its policy says.
+    ``max_pages``: a request with more pages is refused as a whole and reported in ``rejected``, as
+    the request parser does with ``rules.MAX_PAGES_PER_REQUEST``; by default none is.
     """
-    # requests above the page limit are refused as a whole; the walks below rely on that bound
     sizes = basket.groupBy("query_id").agg(F.count("*").alias("n_pages"))
-    rejected = sizes.filter(F.col("n_pages") > rules.MAX_PAGES_PER_REQUEST)
-    questions = questions.join(rejected, "query_id", "left_anti")
-    basket = basket.join(rejected, "query_id", "left_anti")
+    rejected = sizes.filter(F.col("n_pages") > max_pages) if max_pages is not None else sizes.limit(0)
+    if max_pages is not None:
+        questions = questions.join(rejected, "query_id", "left_anti")
+        basket = basket.join(rejected, "query_id", "left_anti")
+    most = rt.largest_k(policies)
 
     planner = pg.planner_mode(questions, basket)
     walked = cut_lineage(dd.dedup_basket(pg.page_profiles(questions, basket, pg.page_features(pages), planner)))
@@ -91,9 +100,9 @@ def answer_questions(
     terms = index.select("page_url", "chunk_index", "chunk_terms")
 
     plans = planner.join(questions.select("query_id", "mode"), "query_id").withColumn("provider", F.lit(provider))
-    policy = cut_lineage(rt.budget_policy(plans, models or MODELS))
+    policy = cut_lineage(rt.budget_policy(plans, models or MODELS, policies=policies))
 
-    lexical = rt.lexical_candidates(rt.score_pairs(questions, profiles, terms))
+    lexical = rt.lexical_candidates(rt.score_pairs(questions, profiles, terms), most)
     if encoder_factory is None:
         routed = lexical.select(
             "query_id", "page_url", "chunk_index", "original_index", "score", "rank"
@@ -105,16 +114,21 @@ def answer_questions(
             encoder_factory=encoder_factory,
         )
         asked = ch.embed_questions(questions, encoder_factory=encoder_factory)
-        routed = rt.route_candidates(rt.dense_candidates(asked, profiles, vectors), lexical)
+        routed = rt.route_candidates(rt.dense_candidates(asked, profiles, vectors, most), lexical)
     limit = policy.select("query_id", "max_candidates")
     routed = routed.join(limit, "query_id").filter(F.col("rank") <= F.col("max_candidates")).drop("max_candidates")
-    spare = rt.priority_fallback(questions, routed, profiles, index).withColumn("strategy", F.lit("lexical-fallback"))
+    spare = rt.priority_fallback(questions, routed, profiles, index, most).withColumn("strategy", F.lit("lexical-fallback"))
     found = routed.withColumn("no_match", F.lit(False)).unionByName(
         spare.join(limit, "query_id").filter(F.col("rank") <= F.col("max_candidates")).drop("max_candidates")
         .withColumn("no_match", F.lit(True))
     )
     candidates = cut_lineage(rt.with_overlaps(found, questions, profiles, terms))
-    scored = rt.rerank_scores(rt.hybrid_scores(candidates), model_score)
+    scored = rt.hybrid_scores(candidates)
+    if pair_model is not None:
+        scored = cut_lineage(scored)
+        wanted = scored.filter(F.col("rank") <= rules.RERANK_TOP).select("page_url").distinct()
+        read = ch.chunk_pages(pages.join(wanted, "page_url", "left_semi"))
+        scored = rt.rerank_scores(rt.model_scores(scored, questions, read, pair_model), F.col("model_score")).drop("model_score")
     filtered = cut_lineage(rt.threshold(rt.page_quality_scores(scored, profiles)))
 
     sizes = index.select("page_url", "chunk_index", "total_chunks", "source_type", "page_title", "tokens")

@@ -30,11 +30,14 @@ def local_session(name: str = "quillmine", cores: str = "*", partitions: int = 8
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, read from the session.
 
-    Only where the session names none (tests, one machine) a temporary one is made.
+    Only a local session that names none (tests, one machine) gets a temporary one; on a cluster
+    executors would write to their own disks, so a missing setting is an error there.
     """
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="quillmine-")
         context.setCheckpointDir(folder)
     return folder

@@ -28,18 +28,23 @@ def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None
 
 
 def without_copies(pages: DataFrame) -> DataFrame:
-    """Pages(page_url, markdown, ...) without repeats of a text; the smallest URL stays.
+    """Pages(page_url, markdown, ...) without repeats of a text; the smallest URL stays, once.
 
-    Only (signature, URL) rows are grouped, and the texts meet the list of repeats in an anti
-    join.  Repeats are few as a rule, so at run time that list is broadcast and the texts are
-    not moved; a long list falls back to a shuffle.
+    Only (signature, URL) rows are grouped.  Texts that occur once pass an anti join with the
+    signatures of the others; of those, the rows with the kept URL are reduced to one.  Signatures
+    that repeat are few as a rule, so their list is broadcast at run time and the texts are not
+    moved; a long list falls back to a shuffle.  Null URLs come last and are kept like any other; a null
+    text is no copy of another.
     """
-    signed = pages.select("page_url", content_signature(F.col("markdown")).alias("content_signature"))
-    repeated = signed.groupBy("content_signature").agg(
-        F.min("page_url").alias("keeper"), F.count("*").alias("n")
+    signed = pages.withColumn("content_signature", content_signature(F.col("markdown")))
+    order = F.struct(F.col("page_url").isNull().alias("last"), F.col("page_url").alias("url"))
+    repeated = signed.select("content_signature", order.alias("row")).groupBy("content_signature").agg(
+        F.min("row").alias("keeper"), F.count("*").alias("n")
     ).filter(F.col("n") > 1)
-    spare = signed.join(repeated, "content_signature").filter(F.col("page_url") != F.col("keeper"))
-    return pages.join(spare.select("page_url"), "page_url", "left_anti")
+    once = signed.join(repeated, "content_signature", "left_anti")
+    again = signed.join(repeated, "content_signature").filter(F.col("page_url").eqNullSafe(F.col("keeper.url")))
+    rest = again.dropDuplicates(["content_signature"])
+    return once.select(*pages.columns).unionByName(rest.select(*pages.columns))
 
 
 def unseen_pages(pages: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -49,7 +54,7 @@ def unseen_pages(pages: DataFrame, corpus: DataFrame) -> DataFrame:
     """
     signed = pages.withColumn("content_signature", content_signature(F.col("markdown")))
     fresh = signed.join(corpus.select("content_signature").distinct(), "content_signature", "left_anti")
-    return without_copies(fresh)
+    return without_copies(fresh.select(*signed.columns))
 
 
 def answer_records(

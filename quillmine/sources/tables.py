@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table with at least one partition per core.
+    """A Parquet table; one that lies in a single split is dealt over the cores.
 
-    A row group is never split, so a small table in one file would keep one core busy and the
-    others idle through every text step.  Tables with enough partitions, which is every large
-    one, are left as they lie: no exchange.  Filters and column pruning pass the repartition.
+    A row group is never split, so a table in one split (no larger than
+    ``spark.sql.files.maxPartitionBytes``) would keep one core busy and the others idle through
+    every text step.  Every larger table is left as it lies: no exchange.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() > 1 else df.repartition(spark.sparkContext.defaultParallelism)

@@ -1,5 +1,6 @@
 import pytest
 
+from quillmine import rules
 from quillmine.operators.chunks import hashed_counts
 from quillmine.operators import responses as rs
 from quillmine.plans.answer import answer_questions, search_corpus
@@ -43,11 +44,39 @@ def test_oversized_requests_are_rejected_not_cut(spark):
     questions = spark.createDataFrame([(1, "validation timeout", "answer"), (2, "validation timeout", "answer")], "query_id long, question string, mode string")
     rows = [(1, PAGES[i % 5][0], i, "default") for i in range(21)] + [(2, PAGES[1][0], 0, "default")]
     basket = spark.createDataFrame(rows, "query_id long, page_url string, original_index int, context_role string")
-    result = answer_questions(questions, basket, pages)
+    result = answer_questions(questions, basket, pages, max_pages=rules.MAX_PAGES_PER_REQUEST)
     assert [r.query_id for r in result.rejected.collect()] == [1]
     assert [r.query_id for r in result.stats.collect()] == [2]
 
 
+def test_large_baskets_and_policies_come_out_whole(spark):
+    """60 pages are no request above a limit, and a policy of 50 candidates gives 50."""
+    pages = spark.createDataFrame(
+        [(f"u{i:02d}", f"Page {i}", "generic", f"validation timeout number {i}") for i in range(60)],
+        "page_url string, title string, source_type string, markdown string")
+    questions = spark.createDataFrame([(1, "validation timeout", "answer")], "query_id long, question string, mode string")
+    basket = spark.createDataFrame([(1, f"u{i:02d}", i, "default") for i in range(60)], "query_id long, page_url string, original_index int, context_role string")
+    policies = {name: values | {"max_candidates": 50} for name, values in rules.BUDGET_POLICIES.items()}
+    result = answer_questions(questions, basket, pages, policies=policies)
+    assert result.rejected.count() == 0
+    assert result.candidates.count() == 50
+    assert result.dedup.first().prepared_pages == 60
+
+
+def test_a_pair_model_reads_questions_and_chunks(spark):
+    pages = spark.createDataFrame(PAGES[:4], "page_url string, title string, source_type string, markdown string")
+    questions = spark.createDataFrame([(1, "validation timeout invoices reminders", "answer")], "query_id long, question string, mode string")
+    basket = spark.createDataFrame([(1, p[0], i, "default") for i, p in enumerate(PAGES[:4])], "query_id long, page_url string, original_index int, context_role string")
+
+    def likes_testers(question, text):
+        assert (question == "validation timeout invoices reminders").all()
+        return text.str.contains("Testers look").astype(float) * 8 - 4
+
+    result = answer_questions(questions, basket, pages, pair_model=likes_testers)
+    first = result.filtered.filter("rank = 1").first()
+    assert first.page_url.endswith("/qa")
+
+
 def test_response_json_edges(spark):
     texts = ['```json\n[1]\n``` {"a": 1}', 'x {"a": {"b": 1}} y', "{'a': 1}", "", '{"a": 1} trailing }']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

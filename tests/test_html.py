@@ -76,3 +76,19 @@ def test_anchors(spark):
         ("https://w.example.org/n", False, True, "", ""),
         ("https://o.example.org/%C3%BC", False, False, "o", ""),
     ]
+
+
+def test_odd_pages_end_no_job(spark):
+    deep = "<main>" + "<div>" * 3000 + '<a href="http://[bad">x</a> text' + "</div>" * 3000 + "</main>"
+    rows = [("https://a.example/x", deep), ("https://a.example/y", None), ("https://a.example/z", "")]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    got = {r.page_url: r.markdown for r in hm.clean_html(pages).collect()}
+    assert "text" in got["https://a.example/x"] and got["https://a.example/y"] == got["https://a.example/z"] == ""
+    assert [r.url for r in hm.extract_anchors(pages).collect()] == ["http://[bad"]
+
+
+def test_title_column(spark):
+    rows = [("<TITLE lang=en> a &amp;\n &lt;b&gt; </TITLE ><title>c</title>", "a & <b>"), ("<p>none", ""), (None, ""), ("<title></title>", "")]
+    frame = spark.createDataFrame(rows, "html string, want string")
+    for r in frame.select(hm.page_title(frame["html"]).alias("got"), "want").collect():
+        assert r.got == r.want

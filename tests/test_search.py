@@ -1,16 +1,18 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillmine.operators.blocks import TopRows, meet
 from quillmine.operators.corpus import corpus_topk
 from quillmine.operators.ranking import spread_row_number
 from quillmine.operators.vectors import vector_topk
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_corpus_search_with_many_blocks_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("salts", [None, 3])
+def test_corpus_search_with_many_blocks_equals_brute_force(spark, salts):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(60)]
     asked = [(q, sorted(set(rng.choices(words, k=rng.randint(0, 6))))) for q in range(40)]
@@ -23,7 +25,7 @@ def test_corpus_search_with_many_blocks_equals_brute_force(spark, limit):
         chunks, "page_url string, chunk_index long, chunk_terms array<string>, title_terms array<string>, heading_terms array<string>"
     ).repartition(5)
     got: dict[int, list] = {}
-    for r in corpus_topk(questions, rows, k=7, block_rows=9, salts=3, broadcast_bytes=limit).sort("query_id", "rank").collect():
+    for r in corpus_topk(questions, rows, k=7, block_rows=9, salts=salts).sort("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.page_url, r.chunk_index, round(r.score, 9)))
     for q, terms in asked:
         scored = []
@@ -38,14 +40,14 @@ def test_corpus_search_with_many_blocks_equals_brute_force(spark, limit):
         assert got.get(q, []) == want
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_vector_search_with_many_blocks_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("salts", [None, 2])
+def test_vector_search_with_many_blocks_equals_brute_force(spark, salts):
     rng = np.random.default_rng(2)
     corpus, asked = rng.normal(size=(300, 8)), rng.normal(size=(30, 8))
     corpus[17] = 0
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "vec_id long, embedding array<float>").repartition(4)
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, embedding array<float>")
-    rows = vector_topk(q, c, k=5, dims=8, block_rows=7, salts=2, broadcast_bytes=limit).sort("query_id", "rank").collect()
+    rows = vector_topk(q, c, k=5, dims=8, block_rows=7, salts=salts).sort("query_id", "rank").collect()
     norms = np.linalg.norm(corpus, axis=1, keepdims=True)
     unit = np.divide(corpus, norms, out=np.zeros_like(corpus), where=norms > 0)
     want = np.argsort(-(asked @ unit.T), axis=1)[:, :5]
@@ -68,3 +70,20 @@ def test_no_question_terms_give_no_rows(spark):
     questions = spark.createDataFrame([(1, [])], "query_id long, query_terms array<string>")
     rows = spark.createDataFrame([("u", 0, ["a"], ["b"], ["c"])], "page_url string, chunk_index long, chunk_terms array<string>, title_terms array<string>, heading_terms array<string>")
     assert corpus_topk(questions, rows).filter(F.lit(True)).count() == 0
+
+
+def test_tiles_of_one_chunk_pages_use_every_salt(spark):
+    tiles = spark.createDataFrame([([f"u{i}"], [0]) for i in range(400)], "urls array<string>, indexes array<long>")
+    blocks = spark.createDataFrame([(0, "asked")], "block long, asked string")
+    used = meet(tiles, blocks, 1, ("urls", "indexes"), salts=16).groupBy("salt").count().collect()
+    assert len(used) == 16 and max(r["count"] for r in used) < 60
+
+
+def test_top_rows_of_a_task_are_those_of_all_its_parts():
+    rng = random.Random(8)
+    rows = pd.DataFrame({"query_id": [rng.randint(0, 5) for _ in range(4000)], "score": [rng.randint(0, 40) for _ in range(4000)], "key": range(4000)})
+    top = TopRows(3, ["score", "key"], [False, True], hold=50)
+    for at in range(0, 4000, 37):
+        top.add(rows.iloc[at:at + 37])
+    want = rows.sort_values(["score", "key"], ascending=[False, True]).groupby("query_id").head(3)
+    assert sorted(top.best()["key"]) == sorted(want["key"])
