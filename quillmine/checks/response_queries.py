@@ -551,6 +551,24 @@ def stream_ttl_cache(t):
     return sj.ttl_batch(fetches(t)).select("key", "seq")
 
 
+def through_stream(t, rows, job, name):
+    """Rows written as files, read as a stream, through the stateful job and back."""
+    place = fresh_table(t, name)
+    rows.write.parquet(f"{place}/in")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", sj.STATE_STORE)
+    source = t.spark.readStream.schema(rows.schema).parquet(f"{place}/in")
+    query = job(source).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{place}/out")
+
+
+@checked("stream_ttl_cache_state", TTL)
+def stream_ttl_cache_state(t):
+    """The stateful streaming job over the same fetches."""
+    rows = fetches(t).withColumn("value", F.lit(""))
+    return through_stream(t, rows, sj.ttl_stream, "ttl").select("key", "seq")
+
+
 # Visits: every event three times, with short pauses, so bursts form.
 COOL = """WITH RECURSIVE v AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type AS value, ts + to_seconds(k * 2) AS ts, event_id * 10 + k AS seq
   FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS k FROM {events})),
@@ -576,6 +594,12 @@ def stream_cooldown(t):
     return sj.cooldown_batch(visits(t)).select("key", "value", "seq")
 
 
+@checked("stream_cooldown_state", COOL)
+def stream_cooldown_state(t):
+    """The stateful streaming job over the same visits."""
+    return through_stream(t, visits(t), sj.cooldown_stream, "cooldown").select("key", "value", "seq")
+
+
 @checked("stream_ingest", """SELECT url AS page_url FROM {pages}""")
 def stream_ingest(t):
     """The pages table as a file stream through cleaning and link scan; the cleaned URLs come back."""

@@ -8,7 +8,7 @@ Both rules keep one small value per key and look at events in time order:
 
 from __future__ import annotations
 
-import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +21,6 @@ from pyspark.sql.streaming.query import StreamingQuery
 from quillmine import rules
 from quillmine.operators import html as hm
 from quillmine.operators import links as lk
-from quillmine.session import cut_lineage, shared_folder
 from quillmine.sources.requests import html_pages
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -92,21 +91,22 @@ def cooldown_stream(visits: DataFrame, seconds: float = rules.SCAN_COOLDOWN_SECO
     return _accept(visits, seconds, True, lateness)
 
 
-def _walk(rows: DataFrame, group: list[str], micros: int, keep_first: bool) -> DataFrame:
-    """Accept rows(key, value, at, seq) in time order within ``group``.
+def _walk(rows: DataFrame, group: list[str], micros: int) -> DataFrame:
+    """Accept rows(key, value, at, seq, entry) in time order within ``group``.
 
-    Groups arrive whole and sorted (Spark's sort spills), and two values are carried from batch
-    to batch, so memory does not grow with a group.  Inside a batch the walk jumps from one
-    accepted row to the next by binary search.
+    The first accepted row is the first at ``entry`` (equal within a group) or later, the next one
+    ``micros`` after it.  Groups arrive whole and sorted (Spark's sort spills), and two values are
+    carried from batch to batch, so memory does not grow with a group.  Inside a batch the walk
+    jumps from one accepted row to the next by binary search.
     """
     names = [f"g{i}" for i in range(len(group))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here = last = None
+        here = due = None
         for batch in batches:
             if not len(batch):
                 continue
-            at = batch["at"].to_numpy()
+            at, entry = batch["at"].to_numpy(), batch["entry"].to_numpy()
             changed = np.zeros(len(batch), dtype=bool)
             changed[0] = True
             for name in names:
@@ -115,83 +115,104 @@ def _walk(rows: DataFrame, group: list[str], micros: int, keep_first: bool) -> D
             starts = np.flatnonzero(changed)
             taken: list[int] = []
             for start, end in zip(starts, np.append(starts[1:], len(batch))):
-                place = start
                 ident = tuple(batch[name].iat[start] for name in names)
                 if ident != here:
-                    here, last = ident, at[start]
-                    if keep_first:
-                        taken.append(start)
-                    place = start + 1
+                    here, due = ident, entry[start]
+                place = start
                 while place < end:
-                    place += int(np.searchsorted(at[place:end], last + micros))
+                    place += int(np.searchsorted(at[place:end], due))
                     if place < end:
-                        last = at[place]
+                        due = at[place] + micros
                         taken.append(place)
                         place += 1
             yield batch.iloc[taken][["key", "value", "at", "seq"]]
 
     named = [F.col(g).alias(f"g{i}") for i, g in enumerate(group)]
     return (
-        rows.select("key", "value", "at", "seq", *named)
+        rows.select("key", "value", "at", "seq", "entry", *named)
         .repartition(*names)
         .sortWithinPartitions(*names, "at", "seq")
         .mapInPandas(run, "key string, value string, at long, seq long")
     )
 
 
-def _ttl_slices(stamped: DataFrame, width: int, spread: int) -> DataFrame:
-    """Accepted rows of keys of any size, one slice of time after the other.
+def _block_ends(rows: DataFrame, width: int, span: int) -> DataFrame:
+    """For rows(key, block, at): where the chain ends that enters a block of ``span`` at a given time.
 
-    Accepted fetches of a key lie at least one lifetime apart, so a slice as long as the
-    lifetime holds at most one of them: the earliest that is old enough.  Each slice is one
-    map-side combined minimum against one row per key, so a hot key never becomes a group in
-    one task.
+    The first acceptable time of a block lies within ``width`` of its beginning, so chains start at the
+    rows of that stretch or the first one after it.  They are walked side by side, in the order of the
+    time each has reached: a row moves every chain it is late enough for, and chains that meet go on
+    as one.  A result row holds for entries up to ``latest`` and after the one before it: the last
+    accepted time is then ``last``.
     """
-    spark = stamped.sparkSession
-    table = f"{shared_folder(spark)}/ttl-{uuid.uuid4().hex}"
-    # one folder per slice, so a round reads its slice only; ``spread`` files per slice
-    (
-        stamped.withColumn("slice", F.floor(F.col("at") / width))
-        .repartition("slice", F.pmod(F.xxhash64("seq"), F.lit(spread)))
-        .write.partitionBy("slice").parquet(table)
-    )
-    sliced = spark.read.parquet(table)
-    numbers = [r["slice"] for r in sliced.select("slice").distinct().sort("slice").collect()]
-    last = taken = None
-    for number in numbers:
-        rows = sliced.filter(F.col("slice") == number)
-        if last is not None:
-            rows = rows.join(last.select("key", F.col("at").alias("last_at")), "key", "left").filter(
-                F.col("last_at").isNull() | (F.col("at") - F.col("last_at") >= width)
-            )
-        found = rows.groupBy("key").agg(F.min(F.struct("at", "seq")).alias("m")).select("key", "m.at", "m.seq")
-        found = cut_lineage(found)
-        taken = found if taken is None else taken.unionByName(found)
-        if last is None:
-            last = found
-        else:
-            merged = last.unionByName(found).groupBy("key").agg(F.max(F.struct("at", "seq")).alias("m"))
-            last = cut_lineage(merged.select("key", "m.at", "m.seq"))
-    return taken
-
-
-def ttl_batch(
-    fetches: DataFrame, seconds: int = rules.CACHE_TTL_SECONDS, hot_rows: int = 1_000_000, spread: int = 32
-) -> DataFrame:
+    columns = ["key", "block", "latest", "last"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, chains, after, edge = None, deque(), False, 0
+        for batch in batches:
+            out = []
+            for key, block, at in zip(batch["key"], batch["block"].tolist(), batch["at"].tolist()):
+                if (key, block) != here:
+                    out.extend((*here, latest, last) for starts, last in chains for latest in starts)
+                    here, chains, after, edge = (key, block), deque(), False, block * span + width
+                moved: list[int] = []
+                while chains and chains[0][1] <= at - width:
+                    more = chains.popleft()[0]
+                    moved, more = (moved, more) if len(moved) >= len(more) else (more, moved)
+                    moved.extend(more)
+                begins, after = at < edge or not after, after or at >= edge
+                if begins and not (chains and chains[-1][1] == at):
+                    moved.append(at)
+                if moved:
+                    chains.append((moved, at))
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame([(*here, latest, last) for starts, last in chains for latest in starts], columns=columns)
+
+    placed = rows.select("key", "block", "at").repartition("key", "block").sortWithinPartitions("key", "block", "at")
+    return placed.mapInPandas(run, "key string, block long, latest long, last long")
+
+
+def _block_entries(ends: DataFrame, width: int) -> DataFrame:
+    """The first acceptable time of every (key, block), from block to block of a key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, entry, found, last = (None, None), 0, False, None
+        for batch in batches:
+            out = []
+            for key, block, latest, end in zip(batch["key"], batch["block"].tolist(), batch["latest"].tolist(), batch["last"].tolist()):
+                if key != here[0]:
+                    last = None
+                if (key, block) != here:
+                    here, found, entry = (key, block), False, EVER if last is None else last + width
+                    out.append((key, block, entry))
+                if not found and latest >= entry:
+                    found, last = True, end
+            yield pd.DataFrame(out, columns=["key", "block", "entry"])
+
+    placed = ends.repartition("key").sortWithinPartitions("key", "block", "latest")
+    return placed.mapInPandas(run, "key string, block long, entry long")
+
+
+#: Earlier than any event.
+EVER = -(1 << 62)
+
+
+def ttl_batch(fetches: DataFrame, seconds: int = rules.CACHE_TTL_SECONDS, block_lifetimes: int = 32) -> DataFrame:
     """Batch twin of ``ttl_stream``: fetches(key, ts, seq) to the accepted rows.
 
-    Keys with up to ``hot_rows`` events are walked in time order after one exchange; keys above
-    it go slice by slice through ``_ttl_slices``.  Both are exact.
+    One way for keys of any size: a key's time is cut into blocks of ``block_lifetimes`` lifetimes.
+    Every block works out, for each way to enter it, when its last fetch is accepted; these few rows
+    are followed from block to block, and then every block is walked from its own entry.  So a key
+    with very many fetches is spread over its blocks.
     """
     width = seconds * 1_000_000
-    stamped = fetches.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq")
-    hot = cut_lineage(stamped.groupBy("key").count().filter(F.col("count") > hot_rows).select("key"))
-    small = stamped.withColumn("value", F.lit(None).cast("string"))
-    if hot.isEmpty():
-        taken = _walk(small, ["key"], width, keep_first=True).select("key", "at", "seq")
-    else:
-        taken = _walk(small.join(hot, "key", "left_anti"), ["key"], width, keep_first=True).select("key", "at", "seq")
-        taken = taken.unionByName(_ttl_slices(stamped.join(hot, "key", "left_semi"), width, spread))
+    span = width * block_lifetimes
+    stamped = fetches.select(
+        "key", F.lit(None).cast("string").alias("value"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq"
+    ).withColumn("block", F.floor(F.col("at") / span))
+    entries = _block_entries(_block_ends(stamped, width, span), width).toDF("k", "b", "entry")
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("block") == F.col("b"))
+    taken = _walk(stamped.join(entries, same), ["key", "block"], width)
     return taken.select("key", F.timestamp_micros("at").alias("ts"), "seq")
 
 
@@ -229,7 +250,7 @@ def cooldown_batch(visits: DataFrame, seconds: int = rules.SCAN_COOLDOWN_SECONDS
     long = bursts.join(sized.filter(F.col("n") >= 3), ["key", "burst"]).select(
         "key", "value", "at", "seq", F.col("burst.at").alias("b_at"), F.col("burst.seq").alias("b_seq")
     )
-    more = _walk(long, ["key", "b_at", "b_seq"], micros, keep_first=False)
+    more = _walk(long.withColumn("entry", F.col("b_at") + micros), ["key", "b_at", "b_seq"], micros)
     return first.unionByName(more).select("key", "value", F.timestamp_micros("at").alias("ts"), "seq")
 
 

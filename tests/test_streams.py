@@ -32,10 +32,11 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "key string, value string, ts timestamp_ntz, seq long")
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 20])
-def test_ttl_batch(spark, hot_rows):
-    rows = events(400, [60, 3600, 7 * 3600], random.Random(1))
-    got = sj.ttl_batch(frame(spark, rows), hot_rows=hot_rows, spread=2)
+@pytest.mark.parametrize("block_lifetimes", [1, 2, 7, 500])
+@pytest.mark.parametrize("steps", [[60, 3600, 7 * 3600], [0, 0, 300, 900], [40 * 3600, 24 * 3600, 300 * 3600, 0]])
+def test_ttl_batch(spark, block_lifetimes, steps):
+    rows = events(500, steps, random.Random(1)) + [(None, "a", START + i * HOUR, 9000 + i) for i in range(40)]
+    got = sj.ttl_batch(frame(spark, rows), block_lifetimes=block_lifetimes)
     assert sorted(r.seq for r in got.collect()) == plain_accept(rows, 24 * 3600, False)
 
 
