@@ -89,7 +89,7 @@ def token_count(t):
 
 
 @checked("corpus_signature", """
-SELECT query_id, sha256(string_agg(page_url || chr(0) || title || chr(0) || source_type || chr(0) || markdown || chr(0), '' ORDER BY page_url)) AS corpus_signature
+SELECT query_id, sha256(string_agg(sha256(page_url || chr(0) || title || chr(0) || source_type || chr(0) || markdown || chr(0)), '' ORDER BY page_url)) AS corpus_signature
 FROM {turn_basket} JOIN {doc_pages} USING (page_url) GROUP BY 1""")
 def corpus_signature(t):
     return ch.corpus_signature(t.turn_basket, t.doc_pages)
@@ -102,7 +102,7 @@ def query_signature(t):
 
 @checked("answer_cache_key", f"""
 SELECT query_id, 'diagram_cache_' || sha256('{{"question":' || to_json(any_value({d.web_strip('lower(question)')})) || ',"pages":['
-  || string_agg('{{"title":' || to_json(title) || ',"url":' || to_json(url) || ',"markdown":' || to_json(md) || ',"source_type":' || to_json(source_type) || '}}',
+  || string_agg('"' || sha256('{{"title":' || to_json(title) || ',"url":' || to_json(url) || ',"markdown":' || to_json(md) || ',"source_type":' || to_json(source_type) || '}}') || '"',
      ',' ORDER BY url || ' ' || title) || ']}}') AS cache_key
 FROM (SELECT b.query_id, q.question, {d.web_strip('p.title')} AS title, {d.web_strip('p.page_url')} AS url, {d.web_strip('p.markdown')} AS md, p.source_type
       FROM {{turn_basket}} b JOIN {{doc_pages}} p USING (page_url) JOIN {{turn_questions}} q ON q.query_id = b.query_id) GROUP BY 1""")

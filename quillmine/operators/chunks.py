@@ -216,31 +216,35 @@ def query_signature(question: Column) -> Column:
 
 
 def corpus_signature(basket: DataFrame, pages: DataFrame) -> DataFrame:
-    """One hash per question over its pages in URL order.  Baskets are capped, so groups are small."""
+    """One hash per question over the hashes of its pages in URL order.
+
+    Each page is hashed once, where it lies; what is joined and collected is 64 characters a page, not
+    its text.  So the value differs from a hash over the joined texts, as stored keys of this library do.
+    """
     zero = F.lit("\x00")
-    joined = basket.select("query_id", "page_url", "original_index").join(pages, "page_url")
-    item = F.concat(
-        F.col("page_url"), zero, F.col("title"), zero, F.col("source_type"), zero, F.col("markdown"), zero
-    )
-    listed = F.sort_array(F.collect_list(F.struct("page_url", "original_index", item.alias("item"))))
+    item = F.concat(F.col("page_url"), zero, F.col("title"), zero, F.col("source_type"), zero, F.col("markdown"), zero)
+    hashed = pages.select("page_url", F.sha2(item, 256).alias("hash"))
+    joined = basket.select("query_id", "page_url", "original_index").join(hashed, "page_url")
+    listed = F.sort_array(F.collect_list(F.struct("page_url", "original_index", "hash")))
     return joined.groupBy("query_id").agg(
-        F.sha2(F.array_join(F.transform(listed, lambda s: s["item"]), ""), 256).alias("corpus_signature")
+        F.sha2(F.array_join(F.transform(listed, lambda s: s["hash"]), ""), 256).alias("corpus_signature")
     )
 
 
 def answer_cache_key(questions: DataFrame, basket: DataFrame, pages: DataFrame) -> DataFrame:
-    """Cache key over the lower-cased question and the pages in (url, title) order."""
+    """Cache key over the lower-cased question and the page hashes in (url, title) order."""
     page = F.struct(
         tx.web_strip(F.col("title")).alias("title"), tx.web_strip(F.col("page_url")).alias("url"),
         tx.web_strip(F.col("markdown")).alias("markdown"), F.col("source_type"),
     )
     order = F.concat_ws(" ", page["url"], page["title"])
-    listed = F.sort_array(F.collect_list(F.struct(order.alias("k"), "original_index", page.alias("page"))))
+    hashed = pages.select("page_url", order.alias("k"), F.sha2(F.to_json(page), 256).alias("hash"))
+    listed = F.sort_array(F.collect_list(F.struct("k", "original_index", "hash")))
     grouped = (
         basket.select("query_id", "page_url", "original_index")
-        .join(pages, "page_url")
+        .join(hashed, "page_url")
         .groupBy("query_id")
-        .agg(F.transform(listed, lambda s: s["page"]).alias("pages"))
+        .agg(F.transform(listed, lambda s: s["hash"]).alias("pages"))
     )
     question = tx.web_strip(F.lower("question")).alias("question")
     signature = F.to_json(F.struct(question, "pages"))

@@ -157,16 +157,37 @@ def answer_questions(
     )
 
 
-def search_corpus(questions: DataFrame, pages: DataFrame, k: int = rt.MAX_K) -> DataFrame:
-    """The best chunks of a whole corpus per question: unique pages, chunks, lexical top k,
-    hybrid score, threshold and the place of the page among the citations."""
-    unique = st.without_copies(pages)
+def corpus_rows(pages: DataFrame) -> DataFrame:
+    """What a search reads of a corpus: chunk keys and term sets, with the page's content signature."""
+    signed = pages.withColumns(
+        {"heading_terms": pg.heading_terms(F.col("markdown")), "content_signature": pg.content_signature(F.col("markdown"))}
+    )
     # heading terms travel with the page through the splitter: no join back
-    marked = unique.withColumn("heading_terms", pg.heading_terms(F.col("markdown")))
-    rows = ch.chunk_pages(marked, carry=("heading_terms",)).select(
-        "page_url", "chunk_index", tx.token_set(F.col("text")).alias("chunk_terms"),
+    return ch.chunk_pages(signed, carry=("heading_terms", "content_signature")).select(
+        "content_signature", "page_url", "chunk_index", tx.token_set(F.col("text")).alias("chunk_terms"),
         tx.token_set(F.col("page_title")).alias("title_terms"), "heading_terms",
     )
+
+
+def extend_corpus(pages: DataFrame, path: str) -> DataFrame:
+    """Add the pages whose text is new to the stored corpus at ``path`` and return it.
+
+    Pages seen before are neither cut nor tokenised again.  The folder is made when missing.
+    """
+    spark = pages.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        fresh = st.unseen_pages(pages, spark.read.parquet(path))
+    else:
+        fresh = st.without_copies(pages)
+    rows = corpus_rows(fresh)
+    st.append(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def search_rows(questions: DataFrame, rows: DataFrame, k: int = rt.MAX_K) -> DataFrame:
+    """The best chunks of a corpus, given as ``corpus_rows``, per question: lexical top k, hybrid
+    score, threshold and the place of the page among the citations."""
     asked = questions.select("query_id", tx.token_set(F.col("question")).alias("query_terms"))
     found = cp.corpus_topk(asked, rows, k)
     kept = rt.threshold(rt.hybrid_scores(found))
@@ -176,3 +197,8 @@ def search_corpus(questions: DataFrame, pages: DataFrame, k: int = rt.MAX_K) ->
     return placed.select(
         "query_id", "page_url", "chunk_index", "rank", "score", "weak_match", citation.alias("citation")
     )
+
+
+def search_corpus(questions: DataFrame, pages: DataFrame, k: int = rt.MAX_K) -> DataFrame:
+    """``search_rows`` over a table of pages without its copies."""
+    return search_rows(questions, corpus_rows(st.without_copies(pages)), k)

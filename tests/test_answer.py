@@ -3,7 +3,7 @@ import pytest
 from quillmine import rules
 from quillmine.operators.chunks import hashed_counts
 from quillmine.operators import responses as rs
-from quillmine.plans.answer import answer_questions, search_corpus
+from quillmine.plans.answer import answer_questions, extend_corpus, search_corpus, search_rows
 
 PAGES = [
     ("https://w.example.org/overview", "Billing overview", "confluence", "# Billing overview\n\nThe billing area serves shops and partners with invoices and reminders."),
@@ -97,3 +97,16 @@ def test_corpus_search_uses_headings_and_drops_copies(spark):
     # chunk 2/2, heading 2/2; hybrid: base 0.72, chunk 0.20
     assert abs(got[0].score - ((0.7 + 0.1) * 0.72 + 0.20)) < 1e-9
     assert abs(got[1].score - (0.35 * 0.72 + 0.10)) < 1e-9
+
+
+def test_a_stored_corpus_grows_by_new_texts_only(spark, tmp_path):
+    schema = "page_url string, title string, source_type string, markdown string"
+    first = spark.createDataFrame([("u1", "Notes", "generic", "Validation timeout."), ("u2", "Notes", "generic", "Other words.")], schema)
+    more = spark.createDataFrame([("u0", "Notes", "generic", "validation   timeout."), ("u3", "Notes", "generic", "A timeout alone.")], schema)
+    questions = spark.createDataFrame([(1, "validation timeout")], "query_id long, question string")
+    path = str(tmp_path / "corpus")
+    assert extend_corpus(first, path).count() == 2
+    rows = extend_corpus(first.unionByName(more), path)
+    assert sorted(r.page_url for r in rows.collect()) == ["u1", "u2", "u3"]
+    want = search_corpus(questions, first.unionByName(more.filter("page_url = 'u3'")))
+    assert search_rows(questions, rows).collect() == want.collect()
