@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.llm import decontaminate, fingerprints, langid, packing, pii, quality, secret_scan, simhash, token_counts, url_filter
+from quillmine.llm import decontaminate, fingerprints, langid, oracles, packing, pii, quality, secret_scan, simhash, token_counts, url_filter
 from quillmine.llm.common import own_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -118,4 +118,4 @@ QUERIES = {f.__name__: f for f in (
     op6_secret_links, op7_language_families, op8_chunk_fingerprints, op9_simhash_groups,
     op10_best_fit_packing,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_decontamination": oracles.DECONTAMINATION, "op4_url_verdicts": oracles.URL_VERDICTS}
