@@ -137,7 +137,7 @@ WITH {CENTROIDS} SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[]
 FROM {{embeddings}} JOIN c USING (label)""")
 def vec_cosine(t):
     mean = centroids(t).withColumnRenamed("embedding", "q")
-    rows = t.embeddings.join(F.broadcast(mean), "label")
+    rows = t.embeddings.join(mean, "label")
     return rows.select("vec_id", F.round(vx.cosine(F.col("embedding"), F.col("q")), 5).alias("similarity"))
 
 
