@@ -59,7 +59,9 @@ def with_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
     """``docs`` with ``spans`` (as in ``find_secrets``, empty where there are none); rows one for one."""
     found = cut_lineage(find_secrets(docs, key, text, scope)).select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash"), "spans")
     clean = without(docs, "spans")
-    joined = clean.join(found, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (row_key(key, text) == F.col("__hash")), "left")
+    # the key is made below the join: texts that nobody selects are not moved
+    hashed = clean.withColumn("__row", row_key(key, text))
+    joined = hashed.join(found, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__row") == F.col("__hash")), "left")
     none = F.array().cast("array<struct<start:bigint,rank:bigint,kind:string,end:bigint>>")
     return joined.select(*(F.col(f"`{c}`") for c in clean.columns), F.coalesce("spans", none).alias("spans"))
 
