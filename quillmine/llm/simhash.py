@@ -205,17 +205,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     Rows with a null key come last, and rows equal in key and text count as one, whichever stays.
     """
     _, groups = _grouped(docs, key, text, shingle, bits)
-    kept = written(groups.select(F.col("least.key").alias("__key"), F.col("least.hash").alias("__hash")).distinct(), "simhash-kept")
-    hashed = docs.withColumn("__row", row_key(key, text))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__row") == F.col("__hash"))
-    return hashed.join(kept, same, "left_semi").dropDuplicates([key, "__row"]).drop("__row")
+    kept = written(groups.select(F.col("least.hash").alias("__row"), F.col("least.check").alias("__check")).distinct(), "simhash-kept")
+    # two hashes, 96 bits, stand for key and text: one exchange of the texts serves the join and the removal of repeats
+    hashed = docs.withColumns({"__row": row_key(key, text), "__check": F.hash(F.col(key), F.col(text))})
+    same = ["__row", "__check"]
+    return hashed.join(kept, same, "left_semi").dropDuplicates(same).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _grouped(docs: DataFrame, key: str, text: str, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """Every row's key, hash and fingerprint; and for every fingerprint the first row of its group."""
-    named = docs.select(F.col(key), F.col(text).alias("__text"), row_key(key, text).alias("hash"))
-    prints = written(fingerprints(named, "__text", shingle).select(key, "hash", "simhash"), "simhash")
-    row = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "hash")
+    named = docs.select(F.col(key), F.col(text).alias("__text"), row_key(key, text).alias("hash"), F.hash(F.col(key), F.col(text)).alias("check"))
+    prints = written(fingerprints(named, "__text", shingle).select(key, "hash", "check", "simhash"), "simhash")
+    row = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "hash", "check")
     first = cut_lineage(prints.groupBy("simhash").agg(F.min(row).alias("least")))
     roots = link_groups(first, "simhash", bits)
     rooted = cut_lineage(first.join(roots, "simhash", "left").withColumn("root", F.coalesce("root", "simhash")))
