@@ -32,17 +32,24 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there.
 
     Unlike a checkpoint the copy is columnar, and Spark knows its size when it plans joins.
+    ``within``: a folder of its caller's, who discards it once no table in it is read any more.
     """
     spark = df.sparkSession
-    folder = own_folder(spark, name)
+    folder = f"{within}/{name}-{uuid.uuid4().hex}" if within else own_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.llm.common import ascii_lower, row_key, without, written
+from quillmine.llm.common import ascii_lower, discard, own_folder, row_key, without, written
 from quillmine.session import cut_lineage
 
 #: Characters between words, once A-Z are lower case: ASCII that is neither a digit nor a letter.
@@ -46,12 +46,12 @@ def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str =
     return rows.join(terms, "word").select("term", "doc", "pos")
 
 
-def occurrences(index: DataFrame, phrases: DataFrame, rare: int = RARE) -> DataFrame:
+def occurrences(index: DataFrame, phrases: DataFrame, rare: int = RARE, scratch: str | None = None) -> DataFrame:
     """Where phrases occur: distinct ``phrase, doc, start``.
 
     ``phrases(phrase, terms)``: arrays of term numbers.  ``index``: a written table of postings, read once to
     count its terms, once per intersected list and once for the remaining words of documents that still
-    have a candidate.
+    have a candidate.  ``scratch``: where intermediate tables go; the result reads them.
     """
     parts = phrases.select("phrase", F.posexplode("terms").alias("offset", "term"))
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
@@ -59,23 +59,23 @@ def occurrences(index: DataFrame, phrases: DataFrame, rare: int = RARE) -> DataF
     ordered = sized.groupBy("phrase").agg(F.sort_array(F.collect_list("part")).alias("parts")).where("parts[0].n > 0")
     # small tables are written rather than checkpointed: Spark then knows their size and may broadcast them
     ordered = written(ordered.select("phrase", F.transform("parts", lambda p: F.struct(
-        p["offset"].alias("offset"), p["term"].alias("term"))).alias("parts")), "decontaminate-phrases")
-    found = index.join(_part(ordered, 0), "term").where("pos >= offset").select(
+        p["offset"].alias("offset"), p["term"].alias("term"))).alias("parts")), "decontaminate-phrases", scratch)
+    found = index.join(_part(ordered, 0, scratch), "term").where("pos >= offset").select(
         "phrase", "doc", (F.col("pos") - F.col("offset")).alias("start"))
-    found = written(found, "decontaminate-candidates")
+    found = written(found, "decontaminate-candidates", scratch)
     for i in range(1, rare):
-        part = _part(ordered, i)
+        part = _part(ordered, i, scratch)
         listed = index.join(part.select("term").distinct(), "term", "left_semi")
         sought = found.join(part, "phrase").select("phrase", "doc", "start", "term", (F.col("start") + F.col("offset")).alias("pos"))
         met = sought.join(listed, ["doc", "pos", "term"], "left_semi").select("phrase", "doc", "start")
         whole = found.join(ordered.where(F.size("parts") <= i).select("phrase"), "phrase", "left_semi")
-        found = written(met.unionByName(whole), "decontaminate-candidates")
+        found = written(met.unionByName(whole), "decontaminate-candidates", scratch)
     rest = F.slice("parts", rare + 1, F.greatest(F.size("parts") - rare, F.lit(0)))
     tails = ordered.select("phrase", F.size(rest).alias("need"), rest.alias("rest"))
     sought = found.distinct().join(tails, "phrase").select("phrase", "doc", "start", "need", F.explode("rest").alias("p")).select(
         "phrase", "doc", "start", "need", (F.col("start") + F.col("p.offset")).alias("pos"), F.col("p.term").alias("term"))
     # written, so that Spark knows how few documents are left and can filter the index by a broadcast
-    held = written(found.select("doc").distinct(), "decontaminate-documents")
+    held = written(found.select("doc").distinct(), "decontaminate-documents", scratch)
     listed = index.join(held, "doc", "left_semi")
     full = sought.join(listed.distinct(), ["doc", "pos", "term"]).groupBy("phrase", "doc", "start").agg(
         F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n = need").select("phrase", "doc", "start")
@@ -83,11 +83,11 @@ def occurrences(index: DataFrame, phrases: DataFrame, rare: int = RARE) -> DataF
     return full.unionByName(short)
 
 
-def _part(ordered: DataFrame, i: int) -> DataFrame:
+def _part(ordered: DataFrame, i: int, scratch: str | None) -> DataFrame:
     """The i-th rarest term of every phrase that has one: ``phrase, term, offset``."""
     part = F.col("parts")[i]
     rows = ordered.where(F.size("parts") > i).select("phrase", part["term"].alias("term"), part["offset"].alias("offset"))
-    return written(rows, "decontaminate-part")
+    return written(rows, "decontaminate-part", scratch)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -99,21 +99,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     nothing; equal items are all listed; repeated rows give one result.  Documents without a hit have no
     row: join with ``with_hits``.
     """
+    spark = docs.sparkSession
+    scratch = own_folder(spark, "decontaminate")
     cut = cut_lineage(windows(items, item, item_text, size))
     listed = cut.select(F.explode("terms").alias("word")).distinct()
-    terms = written(listed.select("word", F.xxhash64("word").alias("term")), "decontaminate-terms")
+    terms = written(listed.select("word", F.xxhash64("word").alias("term")), "decontaminate-terms", scratch)
     phrase = F.transform("terms", lambda w: F.xxhash64(w))
     phrases = cut.select("item", "n", phrase.alias("terms")).select("item", "n", F.xxhash64("terms").alias("phrase"), "terms")
-    phrases = written(phrases, "decontaminate-windows")
-    index = written(postings(docs, terms, key, text), "decontaminate-index")
+    phrases = written(phrases, "decontaminate-windows", scratch)
+    index = written(postings(docs, terms, key, text), "decontaminate-index", scratch)
     distinct = phrases.select("phrase", "terms").dropDuplicates(["phrase"])
-    places = written(occurrences(index, distinct), "decontaminate-places")
+    places = written(occurrences(index, distinct, scratch=scratch), "decontaminate-places", scratch)
     lengths = phrases.groupBy("phrase").agg(F.max("n").alias("n"))
     ids = phrases.select("phrase", F.col("item").cast("string").alias("item")).distinct()
     spans = places.join(lengths, "phrase").groupBy("doc", "start").agg(F.max("n").alias("n"))
     hits = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans")).select("doc", _covered("spans").alias("n_hit"))
     named = places.select("doc", "phrase").distinct().join(ids, "phrase").groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return hits.join(named, "doc").withColumnRenamed("doc", "text_hash")
+    found = written(hits.join(named, "doc").withColumnRenamed("doc", "text_hash"), "decontaminate-hits")
+    discard(spark, scratch)
+    return found
 
 
 def _covered(spans: str) -> Column:
@@ -126,12 +130,14 @@ def _covered(spans: str) -> Column:
 
 def with_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit`` and ``items`` (sorted strings, empty where there are none)."""
-    found = written(decontaminate(docs, items, key, text, **options), "decontaminate-hits")
+    found = decontaminate(docs, items, key, text, **options)
     clean = without(docs, "n_words", "n_hit", "items")
     found = found.select(F.col("text_hash").alias("__hash"), F.col("n_hit").alias("__hit"), F.col("items").alias("__items"))
-    joined = clean.join(found, row_key(key, text) == F.col("__hash"), "left")
+    # made below the join: texts that nobody selects are not moved
+    count = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+    counted = clean.withColumns({"__row": row_key(key, text), "n_words": count})
+    joined = counted.join(found, F.col("__row") == F.col("__hash"), "left")
     return joined.select(
-        *(F.col(f"`{c}`") for c in clean.columns),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words"),
+        *(F.col(f"`{c}`") for c in clean.columns), "n_words",
         F.coalesce("__hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("__items", F.array().cast("array<string>")).alias("items"))

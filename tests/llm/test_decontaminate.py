@@ -55,7 +55,7 @@ def test_windows_by_brute_force(spark, monkeypatch, rare):
     frame = clashing(spark.createDataFrame(docs, "doc_id bigint, text string"), "term", "items", "n_hit", "pos", "doc")
     items = clashing(spark.createDataFrame(ITEMS, "item_id bigint, text string"), "terms", "n", "word")
     kept = dc.occurrences
-    monkeypatch.setattr(dc, "occurrences", lambda index, phrases: kept(index, phrases, rare))
+    monkeypatch.setattr(dc, "occurrences", lambda index, phrases, scratch: kept(index, phrases, rare, scratch))
     got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in dc.with_hits(frame, items).collect())
     assert got == brute(docs, ITEMS)
 
