@@ -174,8 +174,30 @@ def fit_field(shapes: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds
 def line_scores(texts: list[str | None], field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """P(good) of every line, the lines' lengths, and how many lines each text has."""
     shapes, lengths, counts = line_shapes(texts)
-    good = evidence(shapes, counts, field.steps) @ field.weights.astype(np.float32)
-    return marginals(good.astype(np.float64), counts, field.moves)[0], lengths, counts
+    return marginals(line_weights(shapes, counts, field), counts, field.moves)[0], lengths, counts
+
+
+def line_weights(shapes: np.ndarray, counts: np.ndarray, field: Field, lines: int = 1 << 14) -> np.ndarray:
+    """``evidence @ weights`` of every line without the matrix: a text of very many lines needs little memory.
+
+    What a line says about itself, the next and the last one is summed ``lines`` lines at a time and then
+    moved to the line it is about.
+    """
+    width = field.steps.size
+    parts = field.weights[:-1].reshape(3, width).T.astype(np.float32)
+    said = np.empty((len(shapes), 3))
+    for at in range(0, len(shapes), lines):
+        some = shapes[at:at + lines, :, None] > field.steps[None, :, :]
+        said[at:at + lines] = some.reshape(len(some), width).astype(np.float32) @ parts
+    good = said[:, 0] + field.weights[-1]
+    ends = np.cumsum(counts)
+    inner = np.ones(len(good), dtype=bool)
+    inner[ends - counts] = False
+    good[inner] += said[np.flatnonzero(inner) - 1, 1]
+    inner = np.ones(len(good), dtype=bool)
+    inner[ends - 1] = False
+    good[inner] += said[np.flatnonzero(inner) + 1, 2]
+    return good
 
 
 def text_scores(texts: list[str | None], field: Field) -> np.ndarray:
@@ -191,14 +213,18 @@ def text_scores(texts: list[str | None], field: Field) -> np.ndarray:
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Field:
     """Fit on labelled documents that are not held out.
 
-    The sample is the labelled keys with the smallest hashes, ``SAMPLE_DOCS`` of them, without documents
+    The sample is the labelled keys with the smallest hashes, ``SAMPLE_DOCS`` of them at most, without documents
     past ``SAMPLE_LINES`` lines in sum; the driver receives shapes of lines, not texts.  Null labels and
     labels other than 0 and 1 are left out; a key labelled twice counts with its smaller label.  With no
     sample, or only one label in it, the field has no weights and scores everything 0.5.
     """
     ship_package(docs.sparkSession)
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out("k"))
-    chosen = known.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_DOCS)
+    # a hash threshold leaves about the sample where the labels lie; only that is ordered and cut
+    rank, top = F.shiftrightunsigned(F.xxhash64("k"), 1), 2**63 - 1
+    below = min(top, top // max(known.count(), 1) * SAMPLE_DOCS * 6 // 5)
+    likely = known.where(rank <= below).groupBy("k").agg(F.min("y").alias("y"))
+    chosen = likely.orderBy(rank, "k").limit(SAMPLE_DOCS)
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(chosen, "k")
 
     def shaped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

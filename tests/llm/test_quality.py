@@ -63,6 +63,15 @@ def small_field():
     return q.fit_field(shapes, counts, np.array([1] * 30 + [0] * 30))
 
 
+@pytest.mark.parametrize("lines", [1, 3, 1000])
+def test_weights_without_the_matrix(lines):
+    field = small_field()
+    texts = ["good words\n%%% ###\nagain words", "", "x", "a\n\nb", None, "THE %%%\n" * 7]
+    shapes, _, counts = q.line_shapes(texts)
+    want = q.evidence(shapes, counts, field.steps) @ field.weights
+    assert np.allclose(q.line_weights(shapes, counts, field, lines), want, atol=1e-4)
+
+
 def test_mixed_documents_score_between():
     field = small_field()
     good, bad = "plain words of text here\nand another line of it", "%%% $$$ ###\n@@@ ### |||"
