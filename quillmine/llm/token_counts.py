@@ -65,7 +65,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, text: str = "text
     ship_package(spark)
     version = tokenizer_version(vocabulary)
     keyed = docs.select(F.unhex(F.sha2(normalised(text), 256)).alias("digest"), normalised(text).alias("content"))
-    misses = keyed.join(stored(spark, cache, version), "digest", "left_anti").dropDuplicates(["digest"])
+    # copies go map-side, before the exchange that also serves the join with the cache
+    misses = keyed.dropDuplicates(["digest"]).join(stored(spark, cache, version), "digest", "left_anti")
     counted = misses.mapInPandas(_counter(vocabulary), "digest binary, n_tokens bigint")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     # checkpointed, so that the join below has two plain sides and a digest of very many rows can be split
