@@ -32,12 +32,15 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def _mark(state: DataFrame) -> tuple:
-    """Equal marks mean equal edge sets: count, and two sums over the edges' hashes."""
+    """Equal marks mean equal edge sets: count, and two sums over the edges' hashes.
+
+    Summed as decimals: 40-bit hashes pass a bigint at about 2^24 edges.
+    """
     h = F.xxhash64("u", "v")
     row = state.agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(h.bitwiseAND((1 << 40) - 1)).alias("low"),
-        F.sum(F.shiftrightunsigned(h, 32)).alias("high"),
+        F.sum(h.bitwiseAND((1 << 40) - 1).cast("decimal(20,0)")).alias("low"),
+        F.sum(F.shiftrightunsigned(h, 32).cast("decimal(20,0)")).alias("high"),
     ).first()
     return tuple(row)
 
