@@ -131,28 +131,37 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
                   families: Mapping[str, tuple[str, ...]] = FAMILIES) -> Languages | None:
     """Fit on documents with a language, a letter in their text, and a key that is not held out.
 
-    The sample is ``SAMPLE_DOCS`` documents of each language at most, those with the smallest key hashes:
-    a hash threshold from each language's count keeps about that many on the executors, the driver cuts
-    to the bound.  None if no document qualifies.
+    The sample is ``SAMPLE_DOCS`` keys of each language at most, those with the smallest hashes, and of each
+    key the text with the smallest hash: a hash threshold from each language's approximate count of keys
+    keeps about that many on the executors, the driver cuts to the bound.  None if no document qualifies.
     """
     ship_package(docs.sparkSession)
     fit_rows = docs.where(F.col(lang).isNotNull() & ~held_out(key)).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(key), 1).alias("h")).where(F.col("text").rlike("\\p{L}"))
-    counts = {r.lang: r.n for r in fit_rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(key), 1).alias("h"),
+        F.xxhash64(text).alias("t")).where(F.col("text").rlike("\\p{L}"))
+    counts = {r.lang: r.n for r in fit_rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return None
     top = 2**63 - 1
-    most = {c: min(top, top // n * SAMPLE_DOCS * 6 // 5) for c, n in counts.items()}
+    most = {c: min(top, top // max(n, 1) * SAMPLE_DOCS * 6 // 5) for c, n in counts.items()}
     below = F.create_map(*(F.lit(v) for pair in most.items() for v in pair))[F.col("lang")]
 
     def seen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: set[tuple[str, int]] = set()
         for part in parts:
+            # a task reads equal rows once
+            part = part.drop_duplicates(["lang", "h"])
+            part = part[[(c, h) not in held for c, h in zip(part["lang"], part["h"], strict=True)]]
+            held.update(zip(part["lang"], part["h"], strict=True))
             for at in range(0, len(part), 64):
                 some = part.iloc[at:at + 64]
                 rows = vectors(some["text"].tolist()).astype(np.float16)
                 yield pd.DataFrame({"lang": some["lang"], "h": some["h"], "x": [r.tobytes() for r in rows]})
 
-    rows = fit_rows.where(F.col("h") <= below).mapInPandas(seen, "lang string, h bigint, x binary").collect()
+    likely = fit_rows.where(F.col("h") <= below)
+    first = likely.groupBy("lang", "h").agg(F.min("t").alias("t"))
+    rows = likely.join(first, ["lang", "h", "t"], "left_semi").mapInPandas(seen, "lang string, h bigint, x binary")
+    rows = rows.dropDuplicates(["lang", "h"]).collect()
     taken: dict[str, int] = {}
     chosen = []
     for r in sorted(rows, key=lambda r: (r.lang, r.h, bytes(r.x))):

@@ -16,7 +16,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmine.llm.common import without
@@ -213,8 +213,10 @@ def text_scores(texts: list[str | None], field: Field) -> np.ndarray:
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Field:
     """Fit on labelled documents that are not held out.
 
-    The sample is the labelled keys with the smallest hashes, ``SAMPLE_DOCS`` of them at most, without documents
-    past ``SAMPLE_LINES`` lines in sum; the driver receives shapes of lines, not texts.  Null labels and
+    The sample is the labelled keys with the smallest hashes, ``SAMPLE_DOCS`` of them at most, one text of each
+    (that with the smallest hash), without texts above a twentieth of ``SAMPLE_LINES`` lines and without
+    documents past ``SAMPLE_LINES`` lines in sum, in hash order.  Both bounds hold before anything is
+    collected; the driver receives shapes of lines, not texts.  Null labels and
     labels other than 0 and 1 are left out; a key labelled twice counts with its smaller label.  With no
     sample, or only one label in it, the field has no weights and scores everything 0.5.
     """
@@ -225,27 +227,39 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     below = min(top, top // max(known.count(), 1) * SAMPLE_DOCS * 6 // 5)
     likely = known.where(rank <= below).groupBy("k").agg(F.min("y").alias("y"))
     chosen = likely.orderBy(rank, "k").limit(SAMPLE_DOCS)
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(chosen, "k")
+    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).join(chosen, "k")
+    picked = _one_text_of_each(sample)
 
     def shaped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for part in parts:
             texts = part["text"].where(part["text"].notna(), None).tolist()
             for i, one in enumerate(texts):
-                shapes, _, counts = line_shapes([one])
-                if counts[0] <= SAMPLE_LINES // 20:
-                    yield pd.DataFrame({"k": [str(part["k"].iloc[i])], "y": [part["y"].iloc[i]], "lines": [int(counts[0])], "shapes": [shapes.tobytes()]})
-
-    rows = sample.mapInPandas(shaped, "k string, y int, lines int, shapes binary").collect()
-    rows = sorted(rows, key=lambda r: (r.k, bytes(r.shapes)))
+                # a task shapes equal rows once
+                if (k := str(part["k"].iloc[i])) not in seen:
+                    seen.add(k)
+                    shapes, _, counts = line_shapes([one])
+                    yield pd.DataFrame({"k": [k], "y": [part["y"].iloc[i]], "lines": [int(counts[0])], "shapes": [shapes.tobytes()]})
+
+    rows = sample.join(picked, ["k", "h"], "left_semi").mapInPandas(shaped, "k string, y int, lines int, shapes binary")
+    rows = sorted(rows.dropDuplicates(["k"]).collect(), key=lambda r: (r.k, bytes(r.shapes)))
     counts = np.array([r.lines for r in rows], dtype=np.int64)
-    fits = np.cumsum(counts) <= SAMPLE_LINES
-    rows = [r for r, fit in zip(rows, fits, strict=True) if fit]
     y = np.array([r.y for r in rows])
     if len(set(y.tolist())) < 2:
         steps = np.zeros((len(SHAPES), len(QUANTILES)), dtype=np.float32)
         return Field(np.zeros(3 * steps.size + 1), np.zeros((2, 2)), steps)
     shapes = np.concatenate([np.frombuffer(r.shapes, dtype=np.float32).reshape(-1, len(SHAPES)) for r in rows])
-    return fit_field(shapes, counts[fits], y)
+    return fit_field(shapes, counts, y)
+
+
+def _one_text_of_each(sample: DataFrame) -> DataFrame:
+    """``k, h``: the smallest text hash of every key, as far as the line bound goes in the order of the keys' hashes."""
+    lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
+    sized = sample.select("k", "h", lines.cast("bigint").alias("lines")).where(F.col("lines") <= SAMPLE_LINES // 20)
+    first = sized.groupBy("k").agg(F.min(F.struct("h", "lines")).alias("one")).select("k", "one.*")
+    # one row per sampled key: SAMPLE_DOCS at most
+    before = Window.orderBy(F.shiftrightunsigned(F.xxhash64("k"), 1), "k").rowsBetween(Window.unboundedPreceding, 0)
+    return first.withColumn("sum", F.sum("lines").over(before)).where(F.col("sum") <= SAMPLE_LINES).select("k", "h")
 
 
 def score_quality(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:

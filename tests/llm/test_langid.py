@@ -2,10 +2,11 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillmine.llm import langid
 from quillmine.llm.queries import op7_language_families
-from tests.llm.conftest import clashing
+from tests.llm.conftest import SF, clashing
 
 LARGE = "/root/testdata/sf0.1"
 
@@ -76,3 +77,13 @@ def test_query_and_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
     held = [r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]
     assert sum(held) / len(held) > 0.99
+
+
+def test_copies_do_not_crowd_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.where(~langid.held_out("doc_id")).orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).limit(1)
+    repeated = docs.unionByName(one.crossJoin(spark.range(300)).drop("id"))
+    a, b = langid.fit_languages(docs), langid.fit_languages(repeated)
+    assert a.pair_weights.keys() == b.pair_weights.keys()
+    assert all(np.allclose(w, b.pair_weights[pair]) for pair, w in a.pair_weights.items())

@@ -112,3 +112,22 @@ def test_query_and_held_out_accuracy(spark):
 @pytest.mark.parametrize("n", [0, 1])
 def test_no_texts(n):
     assert len(q.text_scores([""] * n, small_field())) == n
+
+
+def test_copies_do_not_crowd_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(q, "SAMPLE_LINES", 200)
+    docs = [(i, f"plain words of text number {i}\nand another line" if i % 2 else f"%%% $$$ {i}\n### ###") for i in range(1, 41)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id bigint, quality int")
+    once = spark.createDataFrame(docs, "doc_id bigint, text string")
+    # the copies come first in key order, and would fill all 200 lines
+    repeated = spark.createDataFrame(docs + [docs[0]] * 300 + [(1, "x\n" * 11)], "doc_id bigint, text string").repartition(4)
+    a, b = q.fit_quality(once, labels), q.fit_quality(repeated, labels)
+    assert a.weights.any() and np.array_equal(a.weights, b.weights) and np.array_equal(a.moves, b.moves)
+
+
+def test_the_line_bound_holds_in_hash_order(spark, monkeypatch):
+    monkeypatch.setattr(q, "SAMPLE_LINES", 100)
+    rows = [(i, i % 2, "line\n" * (i % 5)) for i in range(100)] + [(7, 1, "line\n" * 9)]
+    sample = spark.createDataFrame(rows, "k bigint, y int, text string").selectExpr("k", "y", "text", "xxhash64(text) AS h")
+    picked = q._one_text_of_each(sample).join(sample, ["k", "h"]).collect()
+    assert len({r.k for r in picked}) == len(picked) and 0.7 * 100 < sum(r.text.count("\n") + 1 for r in picked) <= 100
