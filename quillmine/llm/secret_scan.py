@@ -28,6 +28,11 @@ PATTERNS = (
     ("secret", "secret", "(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2})", 20),
     ("endpoint", "endpoint", "((?i:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\\s\"'<>]+)", 8),
 )
+#: Places inside an endpoint where a secret may stand: user information, and the values of key parameters.
+OPEN = (
+    "open", "open",
+    "((?i:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\\s\"'<>/?#@]+@"
+    "|[?&;#](?i:[a-z0-9_.-]*(?:key|token|secret|signature|sig|passw(?:or)?d|pwd|auth|credential)[a-z0-9_.-]*)=[^\\s\"'<>&;#]+)", 1)
 BASE = ("assign", "access", "hex")
 WEAK = tuple(p[0] for p in PATTERNS if p[0] not in BASE)
 KINDS = BASE + WEAK
@@ -43,7 +48,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
     repeated rows give one result.  Null and empty texts have none, and texts without spans no row:
     join with ``with_secrets``.  Texts are read where they lie, only positions move.
     """
-    found = cut_lineage(_positions(docs, key, text))
+    found = cut_lineage(_in_the_open(cut_lineage(_positions(docs, key, text)), key, scope))
     strong = found.where(F.col("kind").isin(*BASE))
     weak = _uncovered(found, key, scope)
     linked = links(weak, found, key, scope).select(
@@ -81,7 +86,7 @@ def _positions(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Gaps and matches alternate through a text, so a match ends at the running sum of both lengths.
     """
-    cuts = F.array_compact(F.array(*(_cuts(F.col(text), *p) for p in PATTERNS)))
+    cuts = F.array_compact(F.array(*(_cuts(F.col(text), *p) for p in (*PATTERNS, OPEN))))
     rows = docs.select(F.col(key), row_key(key, text).alias("text_hash"), F.explode(cuts).alias("c"))
     rows = rows.select(key, "text_hash", "c.kind", "c.role", "c.least", F.posexplode("c.matches").alias("i", "m"))
     rows = rows.where("m.length IS NOT NULL").select(
@@ -95,6 +100,23 @@ def _positions(docs: DataFrame, key: str, text: str) -> DataFrame:
         key, "text_hash", "kind", "role", (F.col("end") - F.col("length")).alias("start"), "end")
 
 
+def _in_the_open(found: DataFrame, key: str, scope: int) -> DataFrame:
+    """``found`` without weak secrets that are part of an address: inside an endpoint, but not in an open place of it."""
+    secrets = found.where("kind = 'secret'").select(key, "text_hash", "start", "end", F.floor(F.col("start") / scope).alias("bin"))
+    same = F.col(key).eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h"))
+
+    def inside(parts: DataFrame, kind: str, how: str) -> DataFrame:
+        bins = F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope)))
+        around = found.where(F.col("kind") == kind).select(
+            F.col(key).alias("k"), F.col("text_hash").alias("h"), F.col("start").alias("s"), F.col("end").alias("e"), bins.alias("b"))
+        return parts.join(around, same & (F.col("bin") == F.col("b")) & (F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e")), how)
+
+    address = inside(inside(secrets, "endpoint", "left_semi"), "open", "left_anti").select(
+        F.col(key).alias("k"), F.col("text_hash").alias("h"), F.lit("secret").alias("l"), F.col("start").alias("s"))
+    others = found.where(F.col("kind") != "open")
+    return others.join(address, same & (F.col("kind") == F.col("l")) & (F.col("start") == F.col("s")), "left_anti")
+
+
 def _uncovered(found: DataFrame, key: str, scope: int) -> DataFrame:
     """The weak matches that share no code point with a strong one."""
     bins = F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope)))

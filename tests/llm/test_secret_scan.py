@@ -81,3 +81,23 @@ def test_query(spark, folder, texts):
     for r in rows:
         kept = ",".join(s for s in r.spans.split(",") if s.split(":")[0] in secret_scan.BASE)
         assert hashlib.sha256(kept.encode()).hexdigest() == r.base_sha256
+
+
+def test_addresses_are_not_secrets(spark):
+    clean = [
+        "See https://example.org/faq and https://example.com/blog/2024-some-article", "https://a.example.org/2024-first-long-article-name user=bob",
+        "https://a.example.org/x?page=2024-some-other-long-name https://b.example.org/y",
+    ]
+    assert spans(spark, *clean) == [[], [], []]
+    got = spans(
+        spark, f"https://bob:{KEY}@db.example.com/x https://a.example.org/y", f"https://a.example.org/?sig=v.{KEY} https://b.example.org/y",
+        f"https://a.example.org/faq {KEY} https://b.example.org/2024-some-long-article")
+    assert [[p for k, p in s if k == "secret"] for s in got] == [[12], [29], [26]]
+
+
+def test_the_stage_keeps_clean_documents_with_several_links(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(1, "See https://example.org/faq and https://example.com/blog/2024-some-article"), (2, f"user=bob {KEY}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r.doc_id for r in pipeline.drop_secrets(spark, docs, "").collect()] == [1]
