@@ -36,3 +36,36 @@ r AS (SELECT *, CASE
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, string_split(trim(regexp_replace(piece, '[ \t]+', ' ', 'g'), ' '), ' ') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL)
+  WHERE regexp_matches(piece, '[^ \t]')),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+  GROUP BY ALL),
+sums AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k >= 2 AND f >= 10),
+held AS (
+  SELECT lang, part, max(a) AS most FROM (
+    SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM candidates WHERE k = 3) GROUP BY ALL),
+cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.j, x.f AS l, y.f AS r,
+         (1000000::HUGEINT * c.a::HUGEINT * c.a::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.lp JOIN grams y ON y.lang = c.lang AND y.phrase = c.rp),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (
+  SELECT w.* FROM worst w LEFT JOIN held h ON h.lang = w.lang AND h.part = w.phrase
+  WHERE h.most IS NULL OR 100 * h.most < 50 * w.a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN sums USING (lang) WHERE rank <= 2000
+"""

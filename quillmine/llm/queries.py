@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.llm import decontaminate, fingerprints, langid, oracles, packing, pii, quality, secret_scan, simhash, token_counts, url_filter
+from quillmine.llm import decontaminate, fingerprints, langid, oracles, packing, phrases, pii, quality, secret_scan, simhash, token_counts, url_filter
 from quillmine.llm.common import own_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -113,9 +113,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of every language of the documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_pii_anchors, op3_decontamination, op4_url_verdicts, op5_quality_lines,
     op6_secret_links, op7_language_families, op8_chunk_fingerprints, op9_simhash_groups,
-    op10_best_fit_packing,
+    op10_best_fit_packing, op13_phrase_collocations,
 )}
-ORACLES = {"op3_decontamination": oracles.DECONTAMINATION, "op4_url_verdicts": oracles.URL_VERDICTS}
+ORACLES = {"op3_decontamination": oracles.DECONTAMINATION, "op4_url_verdicts": oracles.URL_VERDICTS,
+           "op13_phrase_collocations": oracles.COLLOCATIONS}
