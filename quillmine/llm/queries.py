@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.llm import decontaminate, fingerprints, hard_negatives, langid, oracles, packing, phrases, pii, quality, secret_scan, simhash, token_counts, url_filter
+from quillmine.llm import decontaminate, fingerprints, hard_negatives, langid, oracles, packing, phrases, pii, quality, secret_scan, simhash, token_counts, toxicity, url_filter
 from quillmine.llm.common import own_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -113,6 +113,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def op11_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score_toxicity(docs.withColumn("held_out", quality.held_out()), machine)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every anchor, a fiftieth of all embeddings."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -128,7 +136,7 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_pii_anchors, op3_decontamination, op4_url_verdicts, op5_quality_lines,
     op6_secret_links, op7_language_families, op8_chunk_fingerprints, op9_simhash_groups,
-    op10_best_fit_packing, op12_hard_negatives, op13_phrase_collocations,
+    op10_best_fit_packing, op11_toxicity_kernel, op12_hard_negatives, op13_phrase_collocations,
 )}
 ORACLES = {"op3_decontamination": oracles.DECONTAMINATION, "op4_url_verdicts": oracles.URL_VERDICTS,
            "op12_hard_negatives": oracles.HARD_NEGATIVES, "op13_phrase_collocations": oracles.COLLOCATIONS}
