@@ -402,6 +402,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     likely = known.where(rank <= below).groupBy("k").agg(F.min("y").alias("y"))
     order = Window.partitionBy("y").orderBy(rank, "k")
     chosen = likely.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_DOCS).drop("at")
+    # SAMPLE_DOCS of each label at most, so the texts stay where they are
+    chosen = F.broadcast(chosen.limit(2 * SAMPLE_DOCS))
     named = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= LONGEST)
     sample = named.join(chosen, "k").groupBy("k", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     so_far = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
