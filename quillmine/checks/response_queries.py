@@ -16,6 +16,7 @@ from quillmine.operators import dedup as dd
 from quillmine.operators import evidence as ev
 from quillmine.operators import pages as pg
 from quillmine.operators import responses as rs
+from quillmine.operators import titles
 from quillmine.session import shared_folder
 from quillmine.sources import requests as rq
 from quillmine.sources import stores as st
@@ -145,6 +146,15 @@ def title_match(t):
     return t.issue_rows.select("response_id", "issue_index", hit.alias("hit"))
 
 
+@checked("title_join", f"""WITH a AS (SELECT DISTINCT source_title FROM {{issue_rows}}), b AS (SELECT DISTINCT page_title FROM {{issue_rows}})
+SELECT source_title, page_title FROM a JOIN b ON {title_hit('source_title', 'page_title')}""")
+def title_join(t):
+    """Two tables of titles: those that issues name, and those of the pages."""
+    named, pages = (t.issue_rows.select(c).distinct() for c in ("source_title", "page_title"))
+    return titles.join_titles(named.select("source_title", F.col("source_title").alias("a")), pages.select("page_title", F.col("page_title").alias("b")),
+                              "source_title", "a", "page_title", "b")
+
+
 @checked("issue_rank", f"""
 WITH h AS (SELECT *, coalesce(source_title, '') <> '' AND {title_hit('source_title', 'page_title')} AS hit FROM {{issue_rows}}),
 f AS (SELECT *, coalesce(source_title, '') = '' OR hit AS fits, bool_or(coalesce(source_title, '') = '' OR hit) OVER (PARTITION BY response_id) AS some_fit FROM h)

@@ -229,24 +229,25 @@ def dense(t):
     return rt.dense_candidates(asked, t.turn_basket, vectors)
 
 
-HASHED = """SELECT {key}, list(w ORDER BY slot) AS v FROM (SELECT {key}, slot, coalesce(n, 0)::DOUBLE AS w FROM
+# Unit vectors of 32-bit floats, as the encoder gives them.
+HASHED = """SELECT {key}, list((CASE WHEN length > 0 THEN w / length ELSE 0 END)::FLOAT::DOUBLE ORDER BY slot) AS v FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY {key})) AS length FROM (SELECT {key}, slot, coalesce(n, 0)::DOUBLE AS w FROM
   (SELECT {key}, unnest(range(64)) AS slot FROM {src}) LEFT JOIN
   (SELECT {key}, CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) % 64 AS slot, count(*) AS n FROM
-     (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9][a-z0-9._/-]*')) AS tok FROM {src}) GROUP BY ALL) USING ({key}, slot)) GROUP BY {key}"""
+     (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9][a-z0-9._/-]*')) AS tok FROM {src}) GROUP BY ALL) USING ({key}, slot))) GROUP BY {key}"""
 DENSE = f"""cv AS ({HASHED.format(key='page_url, chunk_index', src='{line_chunks}', text='text')}),
 qv AS ({HASHED.format(key='query_id', src="(SELECT * FROM asked WHERE mode <> 'critique')", text='question')}),
-dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, original_index, chunk_index) AS rank FROM (
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, original_index, chunk_index) AS rank FROM (
   SELECT b.query_id, b.page_url, b.original_index, c.chunk_index,
-    CASE WHEN list_sum(c.v) = 0 OR list_sum(q.v) = 0 THEN 0 ELSE list_cosine_similarity(c.v, q.v) END AS score
+    round(CASE WHEN list_sum(c.v) = 0 OR list_sum(q.v) = 0 THEN 0 ELSE list_cosine_similarity(c.v, q.v) END, 12) AS score
   FROM {{turn_basket}} b JOIN qv q USING (query_id) JOIN cv c USING (page_url))) WHERE rank <= 20)"""
 
 
 @checked("cand_route", chain("lexical", "").rstrip() + f""", {DENSE}
-SELECT query_id, page_url, chunk_index, round(score, 4) AS score, 'dense+hybrid' AS strategy FROM dense
-UNION ALL SELECT query_id, page_url, chunk_index, round(score, 4), 'lexical-fallback' FROM lexical WHERE query_id NOT IN (SELECT query_id FROM dense)""")
+SELECT query_id, page_url, chunk_index, round(score, 6) AS score, 'dense+hybrid' AS strategy FROM dense
+UNION ALL SELECT query_id, page_url, chunk_index, round(score, 6), 'lexical-fallback' FROM lexical WHERE query_id NOT IN (SELECT query_id FROM dense)""")
 def cand_route(t):
     routed = rt.route_candidates(dense(t), lexical(t))
-    return routed.select("query_id", "page_url", "chunk_index", F.round("score", 4).alias("score"), "strategy")
+    return routed.select("query_id", "page_url", "chunk_index", "score", "strategy")
 
 
 @checked("cand_priority_fallback", chain("profiles", """

@@ -85,14 +85,15 @@ def dense_candidates(
 ) -> DataFrame:
     """Exact cosine top-k inside each basket.
 
-    Vectors get unit length once per question and once per chunk, so a pair costs one product.
+    Vectors get unit length once per question and once per chunk, so a pair costs one product.  Scores are
+    rounded to 12 digits: equal texts then tie, whatever the order of a sum, and corpus order breaks the tie.
     """
     asked = basket.select("query_id", "page_url", "original_index").join(
         question_vectors.select("query_id", vx.normalize(F.col("embedding")).alias("q")), "query_id"
     )
     unit = chunk_vectors.select("page_url", "chunk_index", vx.normalize(F.col("embedding")).alias("c"))
     scored = asked.join(unit, "page_url").select(
-        "query_id", "page_url", "chunk_index", "original_index", vx.dot_batches(F.col("q"), F.col("c")).alias("score")
+        "query_id", "page_url", "chunk_index", "original_index", F.round(vx.dot_batches(F.col("q"), F.col("c")), 12).alias("score")
     )
     return top_candidates(scored, max_k)
 

@@ -19,3 +19,11 @@ def test_query(spark, name):
         assert df.count() > 0
     else:
         assert compare(df, item.oracle, FOLDER) == ""
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER.replace("0.001", "0.01")), reason="driver tables are not here")
+@pytest.mark.parametrize("name", ["cand_route", "title_join"])
+def test_query_on_more_rows(spark, name):
+    """Ties and near ties of scores only show on more rows."""
+    folder = FOLDER.replace("0.001", "0.01")
+    assert compare(all_checked()[name].build(spark, folder), all_checked()[name].oracle, folder) == ""
