@@ -73,9 +73,9 @@ FROM ranked JOIN sums USING (lang) WHERE rank <= 2000
 HARD_NEGATIVES = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
   FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
          CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
