@@ -10,7 +10,7 @@ import duckdb
 
 from quillmine.checks.inputs import TABLES
 
-KIND = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+KIND = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
 
 
 def oracle_rows(sql: str, folder: str):
