@@ -2,7 +2,7 @@
 
 Strong patterns are reported wherever they stand.  Weak ones, such as an unmarked random string or a
 user name, mean nothing alone; they are reported when a complementary part (identifier, secret,
-endpoint) starts within ``scope`` code points in the same text, which an interval join finds.
+endpoint) lies at most ``scope`` code points away in the same text, which an interval join finds.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ PATTERNS = (
     ("endpoint", "endpoint", "((?i:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\\s\"'<>]+)", 8),
 )
 #: Places inside an endpoint where a secret may stand: user information, and the values of key parameters.
+#: A parameter's name is taken whole and at once, so a long run without "=" is read twice and no more.
 OPEN = (
     "open", "open",
     "((?i:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\\s\"'<>/?#@]+@"
-    "|[?&;#](?i:[a-z0-9_.-]*(?:key|token|secret|signature|sig|passw(?:or)?d|pwd|auth|credential)[a-z0-9_.-]*)=[^\\s\"'<>&;#]+)", 1)
+    "|[?&;#](?i:(?=[a-z0-9_.-]*?(?:key|token|secret|signature|sig|passw(?:or)?d|pwd|auth|credential))[a-z0-9_.-]++)=[^\\s\"'<>&;#]+)", 1)
 BASE = ("assign", "access", "hex")
 WEAK = tuple(p[0] for p in PATTERNS if p[0] not in BASE)
 KINDS = BASE + WEAK
@@ -133,17 +134,20 @@ def _uncovered(found: DataFrame, key: str, scope: int) -> DataFrame:
 def links(weak: DataFrame, found: DataFrame, key: str, scope: int = SCOPE) -> DataFrame:
     """Weak parts with a complementary part in scope: ``key, text_hash, kind, start, partner, partner_start``.
 
-    An identifier or endpoint needs a secret, a secret an identifier or endpoint.  Parts are binned by
-    ``scope`` and meet the parts of their own and the neighbouring bins, so each is compared only with
-    the few that fit into three bins of text.
+    An identifier or endpoint needs a secret, a secret an identifier or endpoint.  At most ``scope`` code
+    points lie between the end of one part and the start of the other, however long either is.  Both are
+    listed in every bin of ``scope`` code points that they cover, the weak part also in those it reaches, and
+    meet in the first bin they share, so each is compared only with the few that fit around it.
     """
-    at = F.floor(F.col("start") / scope)
-    left = weak.select(key, "text_hash", "kind", "role", "start", "end", F.explode(F.sequence(at - 1, at + 1)).alias("bin"))
+    same = (F.col("text_hash") == F.col("h")) & F.col(key).eqNullSafe(F.col("k")) & (F.col("bin") == F.col("b"))
+    first, last = F.floor((F.col("start") - scope - 1) / scope), F.floor((F.col("end") + scope) / scope)
+    left = weak.select(key, "text_hash", "kind", "role", "start", "end", first.alias("first"), F.explode(F.sequence(first, last)).alias("bin"))
+    first, last = F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope)
     right = found.select(
         F.col(key).alias("k"), F.col("text_hash").alias("h"), F.col("kind").alias("partner"), F.col("role").alias("r"),
-        F.col("start").alias("partner_start"), F.col("end").alias("partner_end"), at.alias("b"))
+        F.col("start").alias("partner_start"), F.col("end").alias("partner_end"), first.alias("f"), F.explode(F.sequence(first, last)).alias("b"))
+    once = F.col("bin") == F.greatest("first", "f")
     complementary = ((F.col("role") == "secret") & (F.col("r") != "secret")) | ((F.col("role") != "secret") & (F.col("r") == "secret"))
-    apart = (F.col("partner_start") >= F.col("end")) | (F.col("partner_end") <= F.col("start"))
-    near = F.abs(F.col("partner_start") - F.col("start")) <= scope
-    same = (F.col("text_hash") == F.col("h")) & F.col(key).eqNullSafe(F.col("k")) & (F.col("bin") == F.col("b"))
-    return left.join(right, same & complementary & near & apart).select(key, "text_hash", "kind", "start", "partner", "partner_start")
+    gap = F.greatest(F.col("partner_start") - F.col("end"), F.col("start") - F.col("partner_end"))
+    return left.join(right, same & once & complementary & gap.between(0, scope)).select(
+        key, "text_hash", "kind", "start", "partner", "partner_start")
