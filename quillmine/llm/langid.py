@@ -21,6 +21,9 @@ from quillmine.session import ship_package
 
 #: Bound of the fitting sample: so many documents of each language at most.
 SAMPLE_DOCS = 600
+#: Learned languages, and documents of all of them together (8 KB each on the driver).
+LANGUAGES = 200
+SAMPLE_TOTAL = 24_000
 WIDTH_BITS = 12
 GRAMS = (1, 2, 3)
 #: Languages that are told apart within a family; a language that is not named is a family of its own.
@@ -133,17 +136,21 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
 
     The sample is ``SAMPLE_DOCS`` keys of each language at most, those with the smallest hashes, and of each
     key the text with the smallest hash: a hash threshold from each language's approximate count of keys
-    keeps about that many on the executors, the driver cuts to the bound.  None if no document qualifies.
+    keeps about that many on the executors, the driver cuts to the bound.  Of more than ``LANGUAGES`` values
+    of ``lang`` those with the most keys are learned, and the whole sample is ``SAMPLE_TOTAL`` keys at most,
+    the same number of each language.  None if no document qualifies.
     """
     ship_package(docs.sparkSession)
     fit_rows = docs.where(F.col(lang).isNotNull() & ~held_out(key)).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(key), 1).alias("h"),
         F.xxhash64(text).alias("t")).where(F.col("text").rlike("\\p{L}"))
-    counts = {r.lang: r.n for r in fit_rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    sizes = fit_rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    counts = {r.lang: r.n for r in sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
+    each = min(SAMPLE_DOCS, SAMPLE_TOTAL // len(counts))
     top = 2**63 - 1
-    most = {c: min(top, top // max(n, 1) * SAMPLE_DOCS * 6 // 5) for c, n in counts.items()}
+    most = {c: min(top, top // max(n, 1) * each * 6 // 5) for c, n in counts.items()}
     below = F.create_map(*(F.lit(v) for pair in most.items() for v in pair))[F.col("lang")]
 
     def seen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +173,7 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     chosen = []
     for r in sorted(rows, key=lambda r: (r.lang, r.h, bytes(r.x))):
         taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= SAMPLE_DOCS:
+        if taken[r.lang] <= each:
             chosen.append(r)
     x = np.stack([np.frombuffer(r.x, dtype=np.float16) for r in chosen]).astype(np.float32)
     return fit(x, [r.lang for r in chosen], families)

@@ -87,3 +87,16 @@ def test_copies_do_not_crowd_the_sample(spark, monkeypatch):
     a, b = langid.fit_languages(docs), langid.fit_languages(repeated)
     assert a.pair_weights.keys() == b.pair_weights.keys()
     assert all(np.allclose(w, b.pair_weights[pair]) for pair, w in a.pair_weights.items())
+
+
+def test_many_language_values_share_one_bounded_sample(spark, monkeypatch):
+    """A dirty column of 300 values: the commonest are learned, with as many texts of each as the bound allows."""
+    monkeypatch.setattr(langid, "LANGUAGES", 6)
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 48)
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda x, langs, families: seen.append((len(x), langs)))
+    rows = [(i, f"some words {i}", f"l{i % 5}") for i in range(400)] + [(1000 + i, f"words {i}", f"rare{i}") for i in range(300)]
+    langid.fit_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    n, langs = seen[0]
+    assert n <= 48 and len(set(langs)) <= 6 and {f"l{i}" for i in range(5)} <= set(langs)
+    assert max(langs.count(c) for c in set(langs)) == 8
