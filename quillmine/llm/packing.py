@@ -29,7 +29,7 @@ RANKS = 1 << 44
 
 
 def words(text: str = "text") -> Column:
-    """Tokens of a text as this packing counts them: runs of characters other than ASCII white space."""
+    """Words of a text, a length that ``sequences`` can cut by: runs of characters other than ASCII white space."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
 
 
@@ -143,7 +143,7 @@ def sequences(docs: DataFrame, packed: DataFrame, key: str = "doc_id", text: str
     """One row per bin: ``bin_id, bin_size, keys, texts``, pieces in the order of their offsets.
 
     A bin holds at least one token per piece, so its lists are no longer than the largest size.
-    Expects one text per key.
+    Expects one text per key, and lengths that were counted in ``words``.
     """
     split = F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     cut = packed.where("bin_id IS NOT NULL").join(without(docs, "piece").select(key, split.alias("w")), key)

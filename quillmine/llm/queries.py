@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, with production parameters over whole tables."""
+"""The operators as registered queries, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmine.llm import decontaminate, fingerprints, hard_negatives, langid, oracles, packing, phrases, pii, quality, secret_scan, simhash, token_counts, toxicity, url_filter
-from quillmine.llm.common import own_folder, table
+from quillmine.llm.common import own_folder, table, written
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_CONF = "spark.quillmine.token.cache"
@@ -108,9 +108,9 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces and their places in packed sequences."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", packing.words().alias("n_tokens"))
-    return packing.pack(docs)
+    """Every document's pieces, of tokens as ``op1_token_counts`` counts them, and their places in packed sequences."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(written(token_counts.token_lengths(docs, vocabulary()), "packing-lengths"))
 
 
 def op11_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillmine.llm import packing
-from quillmine.llm.queries import op10_best_fit_packing
+from quillmine.llm.queries import op10_best_fit_packing, vocabulary
 from tests.llm.conftest import clashing
 
 
@@ -109,6 +109,11 @@ def test_sequences_hold_the_words(spark, docs):
         assert Counter(got) == Counter(words)
 
 
-def test_query(spark, folder, docs):
-    lengths = [(r.doc_id, r.n) for r in docs.where("doc_id IS NOT NULL").select("doc_id", packing.words().alias("n")).collect()]
+def test_query(spark, folder, texts):
+    """Lengths are the library's counts: a text without a space is as long as its tokens, and no bin holds more than its size."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary())
+    lengths = [(i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in texts if i is not None]
+    assert any(n > 512 and " " not in t for (_, t), (_, n) in zip([r for r in texts if r[0] is not None], lengths) if t)
     check(op10_best_fit_packing(spark, folder).collect(), lengths, packing.SIZES)

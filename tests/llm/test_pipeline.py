@@ -3,15 +3,16 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from quillmine.llm import quality
+from quillmine.llm import packing, quality
+from quillmine.llm.queries import vocabulary
 from tests.llm.conftest import EDGES, SF
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_near_copies import groups
 from tests.llm.test_packing import check as check_packing
 from tests.llm.test_secret_scan import brute as brute_secrets
-from quillmine.llm import packing
 
 STAGES = dict(pipeline.STAGES)
 
@@ -77,9 +78,10 @@ def test_documents_with_secrets_go(spark, table):
     assert {t for _, t in lost} <= {t for t in EDGES if t and ("Zx81" in t or "user" in t or "://" in t)}
 
 
-def test_packing_places_every_word(spark, table):
+def test_packing_places_every_token(spark, table):
     docs = table.where("doc_id IS NOT NULL")
-    lengths = [(r.doc_id, r.n) for r in docs.select("doc_id", packing.words().alias("n")).collect()]
+    library = Tokenizer.from_file(vocabulary())
+    lengths = [(i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows(docs)]
     check_packing(stage(spark, docs, "best_fit_packing").collect(), lengths, packing.SIZES)
 
 

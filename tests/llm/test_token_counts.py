@@ -65,3 +65,37 @@ def test_query(spark, folder, texts, library):
     rows = op1_token_counts(spark, folder).collect()
     want = Counter((i, len((t or "").encode()), library(t), library(t) > 2048) for i, t in texts if i is not None)
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == want
+
+
+def test_lengths_without_a_cache_equal_the_counts(docs, texts, library):
+    got = token_counts.token_lengths(clashing(docs, "content", "n_tokens"), vocabulary())
+    assert got.columns == ["doc_id", "n_tokens"]
+    assert Counter(map(tuple, got.collect())) == Counter((i, library(t)) for i, t in texts)
+
+
+def test_a_file_that_keeps_white_space_is_refused(docs, tmp_path):
+    import public_tokenizers
+
+    for name in ("byte_bpe_50k.json",):
+        with pytest.raises(ValueError, match="white space"):
+            token_counts.count_tokens(docs, public_tokenizers.path(name), str(tmp_path / "c"))
+        with pytest.raises(ValueError, match="white space"):
+            token_counts.token_lengths(docs, public_tokenizers.path(name))
+
+
+def test_another_splitter_takes_the_librarys_whole_path(docs, texts, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(vocabulary(), encoding="utf-8") as file:
+        settings = json.load(file)
+    assert token_counts.known_pieces(settings)
+    settings["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]"
+    assert not token_counts.known_pieces(settings)
+    other = str(tmp_path / "other.json")
+    with open(other, "w", encoding="utf-8") as file:
+        json.dump(settings, file)
+    library = Tokenizer.from_file(other)
+    got = Counter(map(tuple, token_counts.token_lengths(docs, other).collect()))
+    assert got == Counter((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in texts)
