@@ -23,6 +23,7 @@ from quillmine.operators import conflicts as cf
 from quillmine.operators import corpus as cp
 from quillmine.operators import dedup as dd
 from quillmine.operators import pages as pg
+from quillmine.operators import postings as po
 from quillmine.operators import retrieve as rt
 from quillmine.operators import select as sl
 from quillmine.session import cut_lineage
@@ -175,21 +176,51 @@ def extend_corpus(pages: DataFrame, path: str) -> DataFrame:
     Pages seen before are neither cut nor tokenised again.  The folder is made when missing.
     """
     spark = pages.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        fresh = st.unseen_pages(pages, spark.read.parquet(path))
-    else:
-        fresh = st.without_copies(pages)
+    fresh = st.unseen_pages(pages, spark.read.parquet(path)) if stored(spark, path) else st.without_copies(pages)
     rows = corpus_rows(fresh)
     st.append(rows, path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def extend_index(pages: DataFrame, path: str) -> DataFrame:
+    """Add the pages whose text is new to the stored inverted index at ``path`` and return it.
+
+    One table holds postings, chunk keys and the signatures of the texts, so an extension is one append: a
+    failed one leaves nothing half indexed.  Of the stored rows only the signatures, once a range, are read.
+    Rows of a file lie by term, which lets a reader skip pages of the file.
+    """
+    spark = pages.sparkSession
+    if stored(spark, path):
+        seen = spark.read.schema(po.INDEX_SCHEMA).parquet(path).filter("term IS NULL").select(
+            F.explode("signatures").alias("content_signature"))
+        fresh = st.unseen_pages(pages, seen)
+    else:
+        fresh = st.without_copies(pages)
+    st.append(po.index_chunks(corpus_rows(fresh)).sortWithinPartitions("term", "range"), path)
+    return spark.read.schema(po.INDEX_SCHEMA).parquet(path)
+
+
+def stored(spark, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def search_rows(questions: DataFrame, rows: DataFrame, k: int = rt.MAX_K) -> DataFrame:
     """The best chunks of a corpus, given as ``corpus_rows``, per question: lexical top k, hybrid
     score, threshold and the place of the page among the citations."""
-    asked = questions.select("query_id", tx.token_set(F.col("question")).alias("query_terms"))
-    found = cp.corpus_topk(asked, rows, k)
+    return cited(cp.corpus_topk(asked_terms(questions), rows, k))
+
+
+def search_stored(questions: DataFrame, index: DataFrame, k: int = rt.MAX_K) -> DataFrame:
+    """``search_rows`` over the index that ``extend_index`` keeps."""
+    return cited(po.search_index(asked_terms(questions), index, k))
+
+
+def asked_terms(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", tx.token_set(F.col("question")).alias("query_terms"))
+
+
+def cited(found: DataFrame) -> DataFrame:
     kept = rt.threshold(rt.hybrid_scores(found))
     first = F.min("rank").over(Window.partitionBy("query_id", "page_url"))
     placed = kept.withColumn("first_rank", first)

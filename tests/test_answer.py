@@ -3,7 +3,7 @@ import pytest
 from quillmine import rules
 from quillmine.operators.chunks import hashed_counts
 from quillmine.operators import responses as rs
-from quillmine.plans.answer import answer_questions, extend_corpus, search_corpus, search_rows
+from quillmine.plans.answer import answer_questions, extend_corpus, extend_index, search_corpus, search_rows, search_stored
 
 PAGES = [
     ("https://w.example.org/overview", "Billing overview", "confluence", "# Billing overview\n\nThe billing area serves shops and partners with invoices and reminders."),
@@ -110,3 +110,17 @@ def test_a_stored_corpus_grows_by_new_texts_only(spark, tmp_path):
     assert sorted(r.page_url for r in rows.collect()) == ["u1", "u2", "u3"]
     want = search_corpus(questions, first.unionByName(more.filter("page_url = 'u3'")))
     assert search_rows(questions, rows).collect() == want.collect()
+
+
+def test_a_stored_index_finds_what_its_rows_do(spark, tmp_path):
+    schema = "page_url string, title string, source_type string, markdown string"
+    first = spark.createDataFrame([("u1", "Notes", "generic", "Validation timeout."), ("u2", "Notes", "generic", "Other words.")], schema)
+    more = spark.createDataFrame([("u0", "Notes", "generic", "validation   timeout."), ("u3", "Notes", "generic", "A timeout alone.")], schema)
+    questions = spark.createDataFrame([(1, "validation timeout"), (2, "other notes")], "query_id long, question string")
+    path = str(tmp_path / "index")
+    extend_index(first, path)
+    index = extend_index(first.unionByName(more), path)
+    again = extend_index(first.unionByName(more), path)
+    assert index.filter("term IS NULL").selectExpr("explode(urls)").count() == 3
+    want = sorted(map(tuple, search_corpus(questions, first.unionByName(more.filter("page_url = 'u3'"))).collect()))
+    assert sorted(map(tuple, search_stored(questions, again).collect())) == want and want

@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from quillmine.operators.blocks import TopRows, meet
 from quillmine.operators.corpus import corpus_topk
+from quillmine.operators import postings as po
 from quillmine.operators.ranking import spread_row_number
 from quillmine.operators.vectors import vector_topk
+from quillmine.session import cut_lineage
 
 
+def indexed_topk(questions, chunks, k=20, block_rows=512, salts=None):
+    """``corpus_topk`` through an index of short ranges."""
+    return po.search_index(questions, cut_lineage(po.index_chunks(chunks, 30)), k, block_rows, salts or 1)
+
+
+@pytest.mark.parametrize("search", [corpus_topk, indexed_topk])
 @pytest.mark.parametrize("salts", [None, 3])
-def test_corpus_search_with_many_blocks_equals_brute_force(spark, salts):
+def test_corpus_search_with_many_blocks_equals_brute_force(spark, search, salts):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(60)]
     asked = [(q, sorted(set(rng.choices(words, k=rng.randint(0, 6))))) for q in range(40)]
@@ -25,7 +33,7 @@ def test_corpus_search_with_many_blocks_equals_brute_force(spark, salts):
         chunks, "page_url string, chunk_index long, chunk_terms array<string>, title_terms array<string>, heading_terms array<string>"
     ).repartition(5)
     got: dict[int, list] = {}
-    for r in corpus_topk(questions, rows, k=7, block_rows=9, salts=salts).sort("query_id", "rank").collect():
+    for r in search(questions, rows, k=7, block_rows=9, salts=salts).sort("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.page_url, r.chunk_index, round(r.score, 9)))
     for q, terms in asked:
         scored = []
@@ -87,3 +95,47 @@ def test_top_rows_of_a_task_are_those_of_all_its_parts():
         top.add(rows.iloc[at:at + 37])
     want = rows.sort_values(["score", "key"], ascending=[False, True]).groupby("query_id").head(3)
     assert sorted(top.best()["key"]) == sorted(want["key"])
+
+
+CHUNKS = "page_url string, chunk_index long, chunk_terms array<string>, title_terms array<string>, heading_terms array<string>"
+
+
+def test_ranges_below_the_threshold_are_not_opened(spark):
+    """Pages of one topic lie together; a question opens its topic's ranges and few of the others that hold a common word."""
+    rng = random.Random(6)
+    rows = []
+    for topic in range(40):
+        words = [f"t{topic}w{i}" for i in range(30)]
+        rows += [(f"u{topic:02d}{i:03d}", 0, ["the", *rng.sample(words, 12)], ["the", words[0]], []) for i in range(64)]
+    chunks = spark.createDataFrame(rows, CHUNKS).coalesce(1)
+    asked = spark.createDataFrame(
+        [(q, ["the", *(f"t{q % 40}w{i}" for i in range(q % 5 + 1))]) for q in range(200)], "query_id long, query_terms array<string>")
+    index = cut_lineage(po.index_chunks(chunks, 64))
+    upper = po.upper_bounds(asked, index).cache()
+    first = po.first_ranges(upper).cache()
+    opened = po.open_ranges(asked, index, first, 10)
+    rest = po.ranges_above(upper, opened, first, 10)
+    assert upper.count() == 200 * 40
+    assert first.count() + rest.count() <= 200 * 3
+    got = po.search_index(asked, index, 10).sort("query_id", "rank").collect()
+    for q, terms in asked.collect():
+        scored = sorted((-round((0.7 * len(set(terms) & set(c)) + 0.2 * len(set(terms) & set(t))) / len(terms), 9), u) for u, _, c, t, _ in rows)
+        assert [(-round(r.score, 9), r.page_url) for r in got if r.query_id == q] == scored[:10]
+
+
+def test_a_term_everywhere_has_a_short_list_in_every_range(spark):
+    rows = [(f"u{i:04d}", i % 3, ["hot", f"w{i}"], ["hot"], None) for i in range(1000)]
+    index = cut_lineage(po.index_chunks(spark.createDataFrame(rows, CHUNKS).coalesce(1), 100))
+    lists = index.filter("term = 'hot'").select(F.size("members").alias("n"), "bound", F.col("fields")[0].alias("f")).collect()
+    assert [(r.n, round(r.bound, 9), r.f) for r in lists] == [(100, 0.9, 3)] * 10
+    assert index.filter("term IS NULL").select(F.explode("urls")).distinct().count() == 1000
+
+
+def test_odd_chunks_and_questions(spark):
+    rows = [(None, 0, ["a"], None, []), ("u", None, ["a", None], ["b"], []), ("v", 1, None, None, None), ("w", 2, [], [], []), ("x", 0, ["a", "a"], [], [])]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    asked = spark.createDataFrame([(1, ["a", "b", "a", None]), (2, None), (3, []), (4, ["zz"]), (5, ["a"])], "query_id long, query_terms array<string>")
+    got = [(r.query_id, r["rank"], r.page_url, round(r.score, 9)) for r in indexed_topk(asked, chunks).sort("query_id", "rank").collect()]
+    assert got == [(1, 1, "u", 0.45), (1, 2, None, 0.35), (1, 3, "x", 0.35), (5, 1, None, 0.7), (5, 2, "u", 0.7), (5, 3, "x", 0.7)]
+    assert indexed_topk(asked, chunks.limit(0)).count() == 0
+    assert indexed_topk(asked.limit(0), chunks).count() == 0
