@@ -4,6 +4,10 @@ The index stores a posting (term, document, position) for every training token w
 the test set.  An item's windows are phrases: a window's terms are ordered by how many postings they
 have, the rarest one proposes places (its position less its offset in the window), and the lists of
 the next ones, shifted by their offsets, are intersected with them.
+
+Proximity matches come from the same index: a window is near a place if all but ``MISSES`` of its words
+stand there, each at most ``SLOP`` words late.  Of any ``MISSES + 2`` words of a window two must then be
+there, so only the lists of its rarest ones propose places.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
 #: How many lists are intersected one after the other, rarest first, before all others at once.
 RARE = 2
+#: A proximity match lacks at most so many words of a window, and has the others at most so many words late.
+MISSES = 1
+SLOP = 1
 
 
 def words(text: Column) -> Column:
@@ -90,11 +97,63 @@ def _part(ordered: DataFrame, i: int, scratch: str | None) -> DataFrame:
     return written(rows, "decontaminate-part", scratch)
 
 
+def near_places(index: DataFrame, lines: DataFrame, size: int = WINDOW, misses: int = MISSES, slop: int = SLOP,
+                scratch: str | None = None) -> DataFrame:
+    """Proximity matches: distinct ``line, doc, pos`` of the document words that take part in one.
+
+    ``lines(line, terms)``: whole items as arrays of term numbers; windows are ``size`` consecutive ones, and an
+    item of fewer has none.  A window is near place s of a document if for at least ``size - misses`` of its
+    offsets o the term stands at one of the positions s+o to s+o+slop: a word may be changed, left out or put
+    in.  Every such position takes part.  An exact occurrence is near too.  ``index`` as in ``occurrences``.
+    """
+    if not 0 <= misses <= size - 2 or slop < 0:
+        raise ValueError("a window needs two words besides those that may be missing, and a slop of 0 or more")
+    whole = lines.where(F.size("terms") >= size)
+    parts = written(whole.select("line", F.posexplode("terms").alias("at", "term")), "decontaminate-words", scratch)
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    sized = written(parts.join(counts, "term", "left").select("line", "at", "term", F.coalesce("n", F.lit(0)).alias("n")),
+                    "decontaminate-sized", scratch)
+    # each word is in up to ``size`` windows; neighbours mostly share their rarest words, so these are few per item
+    listed = sized.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("at", "term", "n"))).alias("words"))
+    starts = F.sequence(F.lit(1), F.size("words") - size + 1)
+    rarest = F.slice(F.sort_array(F.transform("cut", lambda w: F.struct(w["n"].alias("n"), w["at"].alias("at"), w["term"].alias("term")))), 1, misses + 2)
+    cut = listed.select("line", "words", F.explode(starts).alias("s")).select("line", F.slice("words", F.col("s"), size).alias("cut"))
+    anchors = cut.select("line", F.inline(rarest)).where("n > 0").select("line", "at", "term").distinct()
+    anchors = written(anchors, "decontaminate-anchors", scratch)
+    # a word on diagonal d can belong to places d - slop to d; two different anchors must agree on one
+    late = F.array(*(F.lit(i) for i in range(slop + 1)))
+    proposed = index.join(anchors, "term").select(
+        "line", "doc", "at", F.explode(F.transform(late, lambda i: F.col("pos") - F.col("at") - i)).alias("s"))
+    agreed = proposed.groupBy("line", "doc", "s").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high")
+    agreed = written(agreed, "decontaminate-agreed", scratch)
+    # the words around the anchors that agree, at each position that they may have
+    around = (F.col("at") > F.col("low") - size) & (F.col("at") < F.col("high") + size)
+    sought = agreed.join(parts, "line").where(around).select(
+        "line", "doc", "s", "at", "term", F.explode(F.transform(late, lambda i: F.col("s") + F.col("at") + i)).alias("pos"))
+    # written, so that Spark knows how few documents are left and can filter the index by a broadcast
+    held = written(agreed.select("doc").distinct(), "decontaminate-near-documents", scratch)
+    there = index.join(held, "doc", "left_semi").distinct()
+    # a met word is one number: its place in the item, and how late it is
+    code = F.col("at").cast("bigint") * slop + F.col("pos") - F.col("s")
+    met = sought.join(there, ["doc", "pos", "term"]).groupBy("line", "doc", "s").agg(F.sort_array(F.collect_set(code)).alias("met"))
+    met = met.withColumn("ats", F.array_distinct(F.transform("met", lambda m: F.floor(m / (slop + 1))))).where(F.size("ats") >= size - misses)
+    met = met.join(whole.select("line", F.size("terms").alias("length")), "line")
+    # the first words of a window that has enough: it starts from ``low`` to ``high``
+    runs = F.transform(F.sequence(F.lit(0), F.size("ats") - size + misses), lambda j: F.struct(
+        F.greatest(F.element_at("ats", j + size - misses) - size + 1, F.lit(0)).alias("low"), F.least(F.element_at("ats", j + 1), F.col("length") - size).alias("high")))
+    runs = F.filter(runs, lambda r: r["low"] <= r["high"])
+    codes = F.transform(runs, lambda r: F.sequence(r["low"] * (slop + 1), (r["high"] + size) * (slop + 1) - 1))
+    taken = met.select("line", "doc", "s", F.explode(F.array_intersect("met", F.flatten(codes))).alias("m"))
+    return taken.select("line", "doc", (F.col("s") + F.floor(F.col("m") / (slop + 1)) + F.col("m") % (slop + 1)).cast("int").alias("pos")).distinct()
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-                  item_text: str = "text", size: int = WINDOW) -> DataFrame:
+                  item_text: str = "text", size: int = WINDOW, near: bool = False, misses: int = MISSES, slop: int = SLOP) -> DataFrame:
     """``text_hash, n_hit, items``: one row per distinct (key, text) in which a window occurs.
 
     ``n_hit`` counts the words inside any occurrence, ``items`` lists the item ids, sorted as strings.
+    With ``near`` also ``n_near, near_items`` of the proximity matches (``near_places``) and a row per text that
+    has either; where one is lacking its count is 0 and its list empty.
     ``text_hash`` is the row key of key and text.  Null and empty texts or items have no words and match
     nothing; equal items are all listed; repeated rows give one result.  Documents without a hit have no
     row: join with ``with_hits``.
@@ -115,11 +174,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     spans = places.join(lengths, "phrase").groupBy("doc", "start").agg(F.max("n").alias("n"))
     hits = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans")).select("doc", _covered("spans").alias("n_hit"))
     named = places.select("doc", "phrase").distinct().join(ids, "phrase").groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    found = written(hits.join(named, "doc").withColumnRenamed("doc", "text_hash"), "decontaminate-hits")
+    found = hits.join(named, "doc")
+    if near:
+        found = found.join(_near(index, items, item, item_text, size, misses, slop, scratch), "doc", "full").select(
+            "doc", *(F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ("n_hit", "n_near")),
+            *(F.coalesce(n, F.array().cast("array<string>")).alias(n) for n in ("items", "near_items")))
+    found = written(found.withColumnRenamed("doc", "text_hash"), "decontaminate-hits")
     discard(spark, scratch)
     return found
 
 
+def _near(index: DataFrame, items: DataFrame, item: str, text: str, size: int, misses: int, slop: int, scratch: str) -> DataFrame:
+    """``doc, n_near, near_items``: words in proximity matches, and the items, equal texts all listed."""
+    terms = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+    lines = items.select(F.col(item).cast("string").alias("item"), terms.alias("terms")).where(F.size("terms") >= size)
+    lines = written(lines.select("item", F.xxhash64("terms").alias("line"), "terms"), "decontaminate-lines", scratch)
+    distinct = lines.select("line", "terms").dropDuplicates(["line"])
+    places = written(near_places(index, distinct, size, misses, slop, scratch), "decontaminate-near", scratch)
+    counted = places.select("doc", "pos").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_near"))
+    ids = lines.select("line", "item").distinct()
+    named = places.select("doc", "line").distinct().join(ids, "line").groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("near_items"))
+    return counted.join(named, "doc")
+
+
 def _covered(spans: str) -> Column:
     """Words that sorted spans (start, n) cover together."""
     zero = F.struct(F.lit(0).cast("bigint").alias("words"), F.lit(0).alias("end"))
@@ -129,15 +206,18 @@ def _covered(spans: str) -> Column:
 
 
 def with_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_hit`` and ``items`` (sorted strings, empty where there are none)."""
+    """``docs`` with ``n_words``, ``n_hit`` and ``items`` (sorted strings, empty where there are none).
+
+    With ``near=True`` also with ``n_near`` and ``near_items``, the same of the proximity matches.
+    """
     found = decontaminate(docs, items, key, text, **options)
-    clean = without(docs, "n_words", "n_hit", "items")
-    found = found.select(F.col("text_hash").alias("__hash"), F.col("n_hit").alias("__hit"), F.col("items").alias("__items"))
+    names = [n for n in ("n_hit", "n_near", "items", "near_items") if n in found.columns]
+    clean = without(docs, "n_words", *names)
+    found = found.select(F.col("text_hash").alias("__hash"), *(F.col(n).alias(f"__{n}") for n in names))
     # made below the join: texts that nobody selects are not moved
     count = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
     counted = clean.withColumns({"__row": row_key(key, text), "n_words": count})
     joined = counted.join(found, F.col("__row") == F.col("__hash"), "left")
     return joined.select(
         *(F.col(f"`{c}`") for c in clean.columns), "n_words",
-        F.coalesce("__hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+        *(F.coalesce(f"__{n}", F.array().cast("array<string>") if "items" in n else F.lit(0).cast("bigint")).alias(n) for n in names))

@@ -21,10 +21,21 @@ grams AS (SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS gram
 found AS (SELECT g.doc_id, g.s, g.n, x.item_id FROM grams g JOIN win x USING (n, gram)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM found) GROUP BY 1),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY 1)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY 1),
+dw AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM w),
+bw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS o FROM b WHERE len(ws) >= 10),
+met AS (SELECT DISTINCT item_id, n, doc_id, pos - o - late AS s, o, pos FROM bw JOIN dw USING (word), (VALUES (0), (1)) v(late)),
+enough AS (SELECT * FROM met SEMI JOIN (SELECT item_id, doc_id, s FROM met GROUP BY ALL HAVING count(DISTINCT o) >= 9) USING (item_id, doc_id, s)),
+inwin AS (SELECT *, unnest(range(greatest(o - 9, 0), least(o, n - 10) + 1)) AS i FROM enough),
+nearwin AS (SELECT item_id, doc_id, s, i FROM inwin GROUP BY ALL HAVING count(DISTINCT o) >= 9),
+part AS (SELECT DISTINCT item_id, doc_id, pos FROM inwin JOIN nearwin USING (item_id, doc_id, s, i)),
+near AS (SELECT doc_id, count(DISTINCT pos) AS n_near FROM part GROUP BY 1),
+nearnamed AS (SELECT doc_id, count(*) AS n_near_items, string_agg(item_id, ',' ORDER BY item_id) AS near_items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM part) GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near, coalesce(n_near_items, 0) AS n_near_items, sha256(coalesce(near_items, '')) AS near_items_sha256
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id) LEFT JOIN nearnamed USING (doc_id)"""
 
 #: No page of the tables declares an alias, so a page without a rule is allowed.
 URL_VERDICTS = f"""

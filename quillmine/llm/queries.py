@@ -51,12 +51,14 @@ def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document inside an occurrence of a benchmark window, and the items they come from."""
+    """Words of every document inside an occurrence of a benchmark window or near one, and the items they come from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hit = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    hit = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), near=True)
     return hit.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near", F.size("near_items").cast("bigint").alias("n_near_items"),
+        F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"))
 
 
 URL_RULES = (

@@ -60,10 +60,62 @@ def test_windows_by_brute_force(spark, monkeypatch, rare):
     assert got == brute(docs, ITEMS)
 
 
+def brute_near(docs, items, size=10, misses=1, slop=1):
+    """(id, words in proximity matches, item ids) by looking at every window at every place of every document."""
+    out = []
+    for key, text in docs:
+        w, parts, found = words(text), set(), set()
+        for item, told in items:
+            b = words(told)
+            for i in range(len(b) - size + 1):
+                for s in range(-slop - size, len(w)):
+                    met = {(o, p) for o in range(size) for p in range(s + o, s + o + slop + 1) if 0 <= p < len(w) and w[p] == b[i + o]}
+                    if len({o for o, _ in met}) >= size - misses:
+                        parts |= {p for _, p in met}
+                        found.add(str(item))
+        out.append((key, len(parts), tuple(sorted(found))))
+    return Counter(out)
+
+
+NEAR = [
+    "the quick brown fox jumps over the lazy cat and runs away from the big bad wolf", "the quick brown fox jumps over a lazy dog and",
+    "quick brown fox jumps over the very lazy dog and runs", "x quick brown fox jumps over the dog and runs away y", "the quick red fox jumps under the lazy dog and runs",
+    "brown fox jumps over the lazy dog and runs", "the the quick brown fox jumps over over the lazy dog", "la la la la x la la la la la",
+    "the quick brown one fox jumps over two the lazy dog and", "É vrai 12 to the of and in a was it", "from the big bad wolf", "quick brown fox jumps over the lazy dog and",
+]
+
+
+@pytest.mark.parametrize("misses, slop", [(1, 1), (0, 0), (0, 1), (2, 0), (3, 2)])
+def test_proximity_by_brute_force(spark, misses, slop):
+    docs = [(i, t) for i, t in enumerate(TEXTS + NEAR)] + [(0, TEXTS[0]), (None, NEAR[0]), (4, "another text under one id")]
+    frame = clashing(spark.createDataFrame(docs, "doc_id bigint, text string"), "n_near", "near_items", "line", "s", "at")
+    rows = dc.with_hits(frame, spark.createDataFrame(ITEMS, "item_id bigint, text string"), near=True, misses=misses, slop=slop).collect()
+    assert Counter((r.doc_id, r.n_near, tuple(r.near_items)) for r in rows) == brute_near(docs, ITEMS, misses=misses, slop=slop)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in rows) == brute(docs, ITEMS)
+
+
+def test_a_word_changed_or_put_in_in_every_ten_is_near(spark):
+    words_ = [f"w{i}" for i in range(400)]
+    changed = " ".join("other" if i % 10 == 5 else w for i, w in enumerate(words_))
+    added = " ".join(f"{w} other" if i % 10 == 5 else w for i, w in enumerate(words_))
+    docs = spark.createDataFrame([(1, changed), (2, added), (3, "clean " * 400)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(words_))], "item_id bigint, text string")
+    got = {r.doc_id: (r.n_hit, r.n_near, r.near_items) for r in dc.with_hits(docs, items, near=True).collect()}
+    assert got[1] == (0, 360, ["7"]) and got[2][1:] == (400, ["7"]) and got[3] == (0, 0, [])
+
+
+def test_windows_too_short_for_the_misses_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    with pytest.raises(ValueError):
+        dc.with_hits(docs, docs.withColumnRenamed("doc_id", "item_id"), near=True, size=3, misses=2)
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     assert [r.n_hit for r in dc.with_hits(docs, items.limit(0)).collect()] == [0]
+    assert [(r.n_near, r.near_items) for r in dc.with_hits(docs, items.limit(0), near=True).collect()] == [(0, [])]
     assert dc.with_hits(docs.limit(0), items).count() == 0
+    assert dc.with_hits(docs.limit(0), items, near=True).count() == 0
 
 
 def test_query(spark, folder, texts):
