@@ -28,6 +28,8 @@ RARE = 2
 #: A proximity match lacks at most so many words of a window, and has the others at most so many words late.
 MISSES = 1
 SLOP = 1
+#: Words of a document that are looked at together for a proximity match.
+STRETCH = 16
 
 
 def words(text: Column) -> Column:
@@ -124,15 +126,20 @@ def near_places(index: DataFrame, lines: DataFrame, size: int = WINDOW, misses:
     late = F.array(*(F.lit(i) for i in range(slop + 1)))
     proposed = index.join(anchors, "term").select(
         "line", "doc", "at", F.explode(F.transform(late, lambda i: F.col("pos") - F.col("at") - i)).alias("s"))
-    agreed = proposed.groupBy("line", "doc", "s").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high")
+    agreed = proposed.groupBy("line", "doc", "s").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"))
+    # where there are only two, both are in the window: the words sought lie around both
+    two, low, high = F.col("n") == 2, F.col("low"), F.col("high")
+    agreed = agreed.where((low < high) & (~two | (high - low < size))).select(
+        "line", "doc", "s", F.greatest(F.when(two, high).otherwise(low) - size + 1, F.lit(0)).alias("low"),
+        (F.when(two, low).otherwise(high) + size - 1).alias("high"))
     agreed = written(agreed, "decontaminate-agreed", scratch)
-    # the words around the anchors that agree, at each position that they may have
-    around = (F.col("at") > F.col("low") - size) & (F.col("at") < F.col("high") + size)
-    sought = agreed.join(parts, "line").where(around).select(
+    sought = agreed.join(parts, "line").where("at BETWEEN low AND high").select(
         "line", "doc", "s", "at", "term", F.explode(F.transform(late, lambda i: F.col("s") + F.col("at") + i)).alias("pos"))
-    # written, so that Spark knows how few documents are left and can filter the index by a broadcast
-    held = written(agreed.select("doc").distinct(), "decontaminate-near-documents", scratch)
-    there = index.join(held, "doc", "left_semi").distinct()
+    # the stretches of documents to look at: written, so that Spark knows how few they are and can filter the index by a broadcast
+    stretches = F.sequence(F.floor((F.col("s") + low) / STRETCH), F.floor((F.col("s") + high + slop) / STRETCH))
+    held = written(agreed.select("doc", F.explode(stretches).alias("stretch")).distinct(), "decontaminate-stretches", scratch)
+    there = index.withColumn("stretch", F.floor(F.col("pos") / STRETCH))
+    there = there.join(held, ["doc", "stretch"], "left_semi").select("doc", "pos", "term").distinct()
     # a met word is one number: its place in the item, and how late it is
     code = F.col("at").cast("bigint") * slop + F.col("pos") - F.col("s")
     met = sought.join(there, ["doc", "pos", "term"]).groupBy("line", "doc", "s").agg(F.sort_array(F.collect_set(code)).alias("met"))
