@@ -74,7 +74,8 @@ def exact_matches(found: DataFrame, blocks: DataFrame) -> DataFrame:
         F.length("needle") >= EXACT_MIN_CHARS
     )
     hay = blocks.select("response_id", "block_index", collapsed(F.col("text")).alias("hay"))
-    hits = needles.join(hay, "response_id").withColumn("at", F.position("needle", "hay")).filter(F.col("at") > 0)
+    # both sides grow with the responses: no estimate may have one of them broadcast
+    hits = needles.join(hay.hint("merge"), "response_id").withColumn("at", F.position("needle", "hay")).filter(F.col("at") > 0)
     first = hits.groupBy(*KEY).agg(F.min(F.struct("candidate_rank", "block_index", "at", "needle")).alias("m"))
     return first.select(
         *KEY, "m.candidate_rank", "m.block_index", (F.col("m.at") - 1).alias("offset"), "m.needle"
