@@ -99,7 +99,7 @@ def fuzzy_scores(issues: DataFrame, blocks: DataFrame) -> DataFrame:
         .filter(F.size("block_tokens") >= BLOCK_MIN_TOKENS)
     )
     matched = F.size(F.array_intersect("tokens", "block_tokens"))
-    rows = asked.join(usable, "response_id").select(
+    rows = asked.join(usable.hint("merge"), "response_id").select(
         *KEY, "block_index", "n_chars", F.size("tokens").alias("n_tokens"), matched.alias("matched")
     )
     needed = F.when(F.col("n_tokens") >= 10, 4).otherwise(2)
@@ -118,7 +118,7 @@ def fuzzy_matches(issues: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("response_id").orderBy("issue_index")
     numbered = issues.withColumn("turn", F.row_number().over(order))
-    scored = fuzzy_scores(numbered, blocks).join(numbered.select(*KEY, "turn"), KEY)
+    scored = fuzzy_scores(numbered, blocks).join(numbered.select(*KEY, "turn").hint("merge"), KEY)
     best = Window.partitionBy(*KEY).orderBy(F.desc("score"), "block_index")
     head = scored.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= F.col("turn"))
     item = F.struct("turn", "n", "block_index", "issue_index", "score")
@@ -153,7 +153,7 @@ def evidence_matches(issues: DataFrame, blocks: DataFrame) -> DataFrame:
     each other; exact matches do not use blocks up.
     """
     exact = cut_lineage(exact_matches(candidates(issues), blocks).select(*KEY, "block_index"))
-    rest = issues.join(exact.select(*KEY), KEY, "left_anti")
+    rest = issues.join(exact.select(*KEY).hint("merge"), KEY, "left_anti")
     fuzzy = fuzzy_matches(rest, blocks).select(*KEY, "block_index")
     return exact.withColumn("method", F.lit("exact")).unionByName(fuzzy.withColumn("method", F.lit("fuzzy")))
 
