@@ -161,7 +161,7 @@ def evidence_matches(issues: DataFrame, blocks: DataFrame) -> DataFrame:
 def evidence_summary(issues: DataFrame, matched: DataFrame) -> DataFrame:
     """Per response: issues, matches and matches by severity."""
     hits = matched.select(*KEY).distinct().withColumn("hit", F.lit(True))
-    rows = issues.select(*KEY, "severity").join(hits, KEY, "left")
+    rows = issues.select(*KEY, "severity").join(hits.hint("merge"), KEY, "left")
     hit = F.coalesce("hit", F.lit(False))
     return rows.groupBy("response_id").agg(
         F.count("*").alias("total_issues"), F.count_if(hit).alias("matched_issues"),
