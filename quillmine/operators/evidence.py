@@ -35,13 +35,12 @@ def candidates(issues: DataFrame) -> DataFrame:
     rows = issues.select(
         *KEY, F.col("evidence").alias("raw"), search_text(bare).alias("e"), search_text(F.col("title")).alias("t"),
         search_text(F.col("risk")).alias("r"), search_text(F.col("suggestion")).alias("s"),
-    )
+    ).withColumns({f"{c}_words": F.filter(F.split(c, " "), lambda w: w != "") for c in ("e", "t")})
 
     def long_enough(col: Column, n: int) -> Column:
         return F.when(F.length(col) >= n, F.array(col)).otherwise(F.array())
 
-    def head(col: Column, least: int, n: int) -> Column:
-        words = F.filter(F.split(col, " "), lambda w: w != "")
+    def head(words: str, least: int, n: int) -> Column:
         return F.when(F.size(words) >= least, F.array(F.array_join(F.slice(words, 1, n), " "))).otherwise(F.array())
 
     quoted = F.filter(
@@ -55,12 +54,12 @@ def candidates(issues: DataFrame) -> DataFrame:
     found = F.concat(
         quoted, long_enough(F.col("e"), EXACT_MIN_CHARS), long_enough(F.col("t"), 12), both, parts,
         long_enough(F.col("r"), PART_MIN_CHARS), long_enough(F.col("s"), PART_MIN_CHARS),
-        head(F.col("e"), 8, 12), head(F.col("e"), 14, 18), head(F.col("t"), 3, 8),
+        head("e_words", 8, 12), head("e_words", 14, 18), head("t_words", 3, 8),
     )
     numbered = F.transform(
         F.array_distinct(found), lambda c, i: F.struct((-F.length(c)).alias("n"), i.alias("i"), c.alias("c"))
     )
-    return rows.select(*KEY, F.posexplode(F.array_sort(numbered)).alias("candidate_rank", "x")).select(
+    return rows.select(*KEY, F.posexplode(F.sort_array(numbered)).alias("candidate_rank", "x")).select(
         *KEY, "candidate_rank", F.col("x.c").alias("candidate")
     )
 

@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that one task gets at most when a table is dealt anew.
+TASK_ROWS = 100_000
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; one that lies in a single split is dealt over the cores.
+    """A Parquet table; one whose rows lie in fewer tasks than there are cores is dealt over them.
 
-    A row group is never split, so a table in one split (no larger than
-    ``spark.sql.files.maxPartitionBytes``) would keep one core busy and the others idle through
-    every text step.  Every larger table is left as it lies: no exchange.
+    Spark cuts files by bytes but never splits a row group, and a row group of a small, well packed
+    table may hold a million rows: a few tasks would get all rows, and every text step with them, while
+    the other cores idle.  So rows count, not splits (from the files' footers).  A table without a split
+    of more than twice its share is left as it lies: no exchange.
     """
     df = spark.read.parquet(path)
-    return df if df.rdd.getNumPartitions() > 1 else df.repartition(spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    rows = df.groupBy(F.spark_partition_id().alias("split")).count().agg(F.sum("count"), F.max("count")).first()
+    total, largest = rows[0] or 0, rows[1] or 0
+    if total and largest * cores <= 2 * total:
+        return df
+    return df.repartition(max(cores, -(-total // TASK_ROWS)))
