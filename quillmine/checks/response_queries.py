@@ -614,7 +614,7 @@ def stream_cooldown_state(t):
 def stream_ingest(t):
     """The pages table as a file stream through cleaning and link scan; the cleaned URLs come back."""
     out = fresh_table(t, "ingest")
-    schema = t.pages.schema
-    source = t.spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(t.folder)
+    # a pattern, as a stream takes a single file by no other name; the table may be a file or a folder of files
+    source = t.spark.readStream.schema(t.pages.schema).parquet(f"{t.folder}/pages.parque[t]")
     sj.ingest(source.select("url", "html"), out, f"{out}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{out}/pages_clean").select("page_url")

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillmine.checks import all_checked
 from quillmine.streaming import jobs as sj
 
 START = dt.datetime(2024, 1, 1)
@@ -93,3 +94,19 @@ def test_ingest_writes_pages_and_links(spark, tmp_path):
     link = spark.read.parquet(f"{out}/links").select("url", "type", "confidence").collect()
     assert [tuple(r) for r in link] == [("https://team.atlassian.net/browse/AB-1", "jira", "high")]
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_stream_ingest_reads_a_file_or_a_folder(spark, tmp_path, files):
+    """The pages table may be one file, or a folder of files as Spark writes it."""
+    body = "<main><p>" + "word " * 50 + "</p></main>"
+    rows = [(i, f"https://w.example.org/{i}", body) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    if files:
+        pages.repartition(files).write.parquet(str(tmp_path / "pages.parquet"))
+    else:
+        pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    # another table beside it stays out
+    spark.range(3).write.parquet(str(tmp_path / "part.parquet"))
+    got = all_checked()["stream_ingest"].build(spark, str(tmp_path))
+    assert sorted(r.page_url for r in got.collect()) == [url for _, url, _ in rows]
