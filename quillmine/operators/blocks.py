@@ -1,12 +1,33 @@
-"""Tiles of a corpus against blocks of questions."""
+"""Tiles of a corpus against blocks of questions, and batches of texts in small pieces."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters of a piece of a batch.
+PIECE_CHARS = 1 << 20
+
+
+def pieces(batches: Iterator[pd.DataFrame], text: str, chars: int = PIECE_CHARS) -> Iterator[pd.DataFrame]:
+    """Batches cut after about so many characters of a column, rows in order and each in one piece.
+
+    A batch holds up to 64 MB of texts; what a step makes of it, several times as much, leaves the
+    task piece by piece.
+    """
+    for batch in batches:
+        ends = np.cumsum([len(t) if t else 0 for t in batch[text]])
+        cuts = np.flatnonzero(np.diff(ends // chars)) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(batch)]):
+            if end > start:
+                yield batch.iloc[start:end]
+
+
 def block_count(rows: int, block_rows: int) -> int:
     return max(1, -(-rows // block_rows))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmine import rules
 from quillmine.functions import text as tx
+from quillmine.operators.blocks import pieces
 
 CHUNK_SCHEMA = (
     "page_url string, page_title string, source_type string, chunk_index long, "
@@ -81,7 +82,7 @@ def chunk_pages(
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches, "markdown"):
             rows = []
             for url, title, kind, markdown, *kept in batch.itertuples(index=False):
                 if not markdown or not markdown.strip():

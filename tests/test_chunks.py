@@ -1,6 +1,9 @@
 import random
 
+import pandas as pd
+
 from quillmine import rules
+from quillmine.operators.blocks import pieces
 from quillmine.operators.chunks import chunk_pages, split_text
 
 
@@ -58,3 +61,14 @@ def test_chunk_rows(spark):
         assert (r.char_start, r.char_end) == (start, start + len(r.text))
         start += len(r.text) - rules.CHUNK_OVERLAP
     assert [r.page_url for r in rows if r.page_url != "u1"] == ["u3"]
+
+
+def test_batches_are_cut_by_characters():
+    """Rows keep their order, nulls count nothing, a long text stands alone; results leave the task piece by piece."""
+    texts = ["a" * 40, None, "b" * 70, "c" * 500, "", "d" * 10, "e" * 95]
+    batches = [pd.DataFrame({"n": range(7), "t": texts}), pd.DataFrame({"n": [], "t": []}), pd.DataFrame({"n": [7], "t": [None]})]
+    got = list(pieces(iter(batches), "t", chars=100))
+    assert [n for part in got for n in part["n"]] == list(range(8))
+    assert len(got) > 4 and all(sum(len(t or "") for t in part["t"][:-1]) <= 100 + max(len(t or "") for t in part["t"]) for part in got)
+    many = pd.DataFrame({"n": range(1000), "t": ["x" * 10_000] * 1000})
+    assert max(len(part) for part in pieces(iter([many]), "t")) <= 106
