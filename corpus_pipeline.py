@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.llm import decontaminate, near_copies, packing, quality, secret_scan, token_counts
+from quillmine.llm import decontaminate, near_copies, packing, quality, secret_scan, simhash, token_counts
 from quillmine.llm.common import row_key, table, written
 from quillmine.llm.queries import vocabulary
 
@@ -21,8 +21,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return near_copies.keep_one(docs)
+    """One document, with the smallest id, of each group of near copies.
+
+    SimHash fingerprints that differ in at most 3 bits link, as in ``op9_simhash_groups``; so do texts whose five-word
+    shingles are alike to 0.8 or more, most of which fingerprints miss.
+    """
+    return near_copies.keep_one(docs, bits=simhash.BITS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmine.llm import simhash
 from quillmine.llm.common import discard, own_folder, row_key, written
 from quillmine.llm.components import connected_components
 from quillmine.llm.simhash import _hashes
@@ -59,9 +60,14 @@ def signature(hashes: np.ndarray) -> bytes:
     return ((least * mix) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = LEAST, bits: int | None = None
+) -> DataFrame:
     """``docs`` with one row of every group of near copies: the smallest key, then the smallest text hash.
 
+    ``bits``: documents whose ``simhash`` fingerprints differ in at most so many bits are linked first, and the
+    lists go on from these groups; without it only the similarity of the shingle sets links.
+
     Texts without words are copies of each other.  Rows with a null key come last, and rows equal in key and
     text count as one, whichever stays.  A text's shingle set is one cell while it is compared, 8 bytes a word.
     """
@@ -69,11 +75,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     ship_package(spark)
     scratch = own_folder(spark, "near-copies")
     named = docs.select(F.col(key).alias("key"), *(c.alias(n) for n, c in _row(key, text).items()), F.col(text).alias("text"))
-    prints = written(_prints(named, size), "prints", scratch)
+    linked = simhash.fingerprints(named) if bits is not None else named
+    prints = written(_prints(linked, size), "prints", scratch)
     row = F.struct(F.col("key").isNull().alias("last"), "key", "hash", "check")
     kinds = written(prints.groupBy("sid").agg(F.min(row).alias("least"), F.min("n").alias("n"), F.min("signature").alias("signature")), "kinds", scratch)
-    links = _links(kinds, named, size, least, scratch)
-    roots = connected_components(links, "left", "right").select(F.col("node").alias("sid"), F.col("component").alias("root"))
+    first = spark.createDataFrame([], "left bigint, right bigint")
+    if bits is not None:
+        first = written(_fingerprint_links(prints, bits), "fingerprint-links", scratch)
+    links = _links(kinds, named, first, size, least, scratch)
+    roots = _roots(links)
     rooted = kinds.select("sid", "least").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least"))
     kept = written(kept.select(F.col("least.hash").alias("__row"), F.col("least.check").alias("__check")), "near-copies-kept")
@@ -104,15 +114,28 @@ def _prints(named: DataFrame, size: int) -> DataFrame:
             ids = np.array([o[0] for o in out], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"sid": ids, "n": [o[1] for o in out], "signature": [o[2] for o in out]})
 
-    return named.withColumn("__s", column("text")).select("key", "hash", "check", "__s.*")
+    return named.withColumn("__s", column("text")).select(*(c for c in named.columns if c != "text"), "__s.*")
+
+
+def _fingerprint_links(prints: DataFrame, bits: int) -> DataFrame:
+    """``left, right``: every shingle set of a group of linked fingerprints, and the smallest one of the group."""
+    sets = prints.select("sid", "simhash").distinct()
+    groups = sets.join(simhash.link_groups(sets.select("simhash"), "simhash", bits), "simhash", "left").select(
+        "sid", F.coalesce("root", "simhash").alias("group")).distinct()
+    smallest = groups.groupBy("group").agg(F.min("sid").alias("right"))
+    return groups.join(smallest, "group").where("sid <> right").select(F.col("sid").alias("left"), "right")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return connected_components(links, "left", "right").select(F.col("node").alias("sid"), F.col("component").alias("root"))
 
 
-def _links(kinds: DataFrame, named: DataFrame, size: int, least: float, scratch: str) -> DataFrame:
-    """``left, right``: pairs of shingle sets of at least the given similarity that connect the groups."""
-    spark = kinds.sparkSession
+def _links(kinds: DataFrame, named: DataFrame, first: DataFrame, size: int, least: float, scratch: str) -> DataFrame:
+    """``left, right``: the ``first`` links, and pairs of shingle sets of at least the given similarity that connect the groups."""
     places = [F.xxhash64(F.lit(at), F.substring("signature", at + 1, RUN)) for at in range(0, BYTES, RUN)]
-    lists = kinds.where("n > 0").select("sid", F.explode(F.array(*places)).alias("value"), F.col("sid").alias("root"))
-    found = spark.createDataFrame([], "left bigint, right bigint")
+    rooted = kinds.where("n > 0").join(_roots(first), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    lists = rooted.select("sid", F.explode(F.array(*places)).alias("value"), "root")
+    spark, found = kinds.sparkSession, first
     worthwhile = True
     for step in count():
         folder = f"{scratch}/round{step}"
@@ -127,8 +150,7 @@ def _links(kinds: DataFrame, named: DataFrame, size: int, least: float, scratch:
         new = written(_similar(pairs, kinds, named, size, least, folder), f"links{step}", scratch)
         found = found.unionByName(new)
         worthwhile = new.count() > WORTHWHILE * pairs.count()
-        roots = connected_components(found, "left", "right").select(F.col("node").alias("sid"), F.col("component").alias("root"))
-        lists = written(apart.select("value", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), f"lists{step}", scratch)
+        lists = written(apart.select("value", "sid").join(_roots(found), "sid", "left").withColumn("root", F.coalesce("root", "sid")), f"lists{step}", scratch)
         discard(spark, folder)
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from quillmine.llm import packing, quality
+from quillmine.llm import packing, quality, simhash
 from quillmine.llm.queries import vocabulary
 from tests.llm.conftest import EDGES, SF
 from tests.llm.test_decontaminate import brute as brute_hits
@@ -61,6 +62,19 @@ def test_one_document_of_each_group(spark, table):
     assert len(set(got) ^ want) <= 0.02 * len(want)
 
 
+def test_fingerprints_link_documents(spark):
+    """One document of each SimHash group, also where five-word shingles are less alike than 0.8."""
+    draw = random.Random(17)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(40)] * 30
+    tail = [f"z{draw.randrange(10**6)}" for _ in range(20)]
+    texts = [" ".join(base), " ".join(base + tail), "other words that stand alone here", "", None, " ".join(base).upper()]
+    assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() <= simhash.BITS
+    assert groups(texts[:2])[1] == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_groups(docs).collect()} == {0, 2, 3}
+    assert {i for i, _ in rows(STAGES["simhash_near_dedup"](spark, docs, SF))} == {0, 2, 3}
+
+
 def test_documents_with_benchmark_windows_go(spark, table):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     given = rows(table)
