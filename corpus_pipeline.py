@@ -21,10 +21,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the smallest id, of each group of near copies.
+    """One document, with the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    SimHash fingerprints that differ in at most 3 bits link, as in ``op9_simhash_groups``; so do texts whose five-word
-    shingles are alike to 0.8 or more, most of which fingerprints miss.
+    SimHash proposes as in ``op9_simhash_groups`` (fingerprints at most 3 bits apart), the exact similarity decides, and
+    an index of minima finds the copies that fingerprints miss.
     """
     return near_copies.keep_one(docs, bits=simhash.BITS)
 

@@ -65,8 +65,8 @@ def keep_one(
 ) -> DataFrame:
     """``docs`` with one row of every group of near copies: the smallest key, then the smallest text hash.
 
-    ``bits``: documents whose ``simhash`` fingerprints differ in at most so many bits are linked first, and the
-    lists go on from these groups; without it only the similarity of the shingle sets links.
+    ``bits``: documents whose ``simhash`` fingerprints differ in at most so many bits are proposed first and checked
+    like any other pair; the lists go on from these groups and find what fingerprints miss.
 
     Texts without words are copies of each other.  Rows with a null key come last, and rows equal in key and
     text count as one, whichever stays.  A text's shingle set is one cell while it is compared, 8 bytes a word.
@@ -81,7 +81,8 @@ def keep_one(
     kinds = written(prints.groupBy("sid").agg(F.min(row).alias("least"), F.min("n").alias("n"), F.min("signature").alias("signature")), "kinds", scratch)
     first = spark.createDataFrame([], "left bigint, right bigint")
     if bits is not None:
-        first = written(_fingerprint_links(prints, bits), "fingerprint-links", scratch)
+        pairs = written(_fingerprint_pairs(prints, bits), "fingerprint-pairs", scratch)
+        first = written(_similar(pairs, kinds, named, size, least, scratch), "fingerprint-links", scratch)
     links = _links(kinds, named, first, size, least, scratch)
     roots = _roots(links)
     rooted = kinds.select("sid", "least").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -117,7 +118,7 @@ def _prints(named: DataFrame, size: int) -> DataFrame:
     return named.withColumn("__s", column("text")).select(*(c for c in named.columns if c != "text"), "__s.*")
 
 
-def _fingerprint_links(prints: DataFrame, bits: int) -> DataFrame:
+def _fingerprint_pairs(prints: DataFrame, bits: int) -> DataFrame:
     """``left, right``: every shingle set of a group of linked fingerprints, and the smallest one of the group."""
     sets = prints.select("sid", "simhash").distinct()
     groups = sets.join(simhash.link_groups(sets.select("simhash"), "simhash", bits), "simhash", "left").select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from quillmine.llm import packing, quality, simhash
+from quillmine.llm import near_copies, packing, quality, simhash
 from quillmine.llm.queries import vocabulary
 from tests.llm.conftest import EDGES, SF
 from tests.llm.test_decontaminate import brute as brute_hits
@@ -62,17 +62,26 @@ def test_one_document_of_each_group(spark, table):
     assert len(set(got) ^ want) <= 0.02 * len(want)
 
 
-def test_fingerprints_link_documents(spark):
-    """One document of each SimHash group, also where five-word shingles are less alike than 0.8."""
+def test_fingerprints_propose_and_the_similarity_decides(spark, monkeypatch):
+    """SimHash groups are the first pairs of the stage; one whose five-word shingles are less alike than 0.8 stays apart."""
     draw = random.Random(17)
     base = [f"w{draw.randrange(10**6)}" for _ in range(40)] * 30
     tail = [f"z{draw.randrange(10**6)}" for _ in range(20)]
-    texts = [" ".join(base), " ".join(base + tail), "other words that stand alone here", "", None, " ".join(base).upper()]
-    assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() <= simhash.BITS
-    assert groups(texts[:2])[1] == 1
+    near = [f"y{draw.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join(base + tail), "other words that stand alone here", "", None,
+             " ".join(near), " ".join(["x", *near])]
+    assert all((simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() <= simhash.BITS for a, b in ((0, 1), (5, 6)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.component_id for r in simhash.near_groups(docs).collect()} == {0, 2, 3}
-    assert {i for i, _ in rows(STAGES["simhash_near_dedup"](spark, docs, SF))} == {0, 2, 3}
+    link, proposed = near_copies._similar, []
+
+    def similar(pairs, *more):
+        proposed.append(pairs.count())
+        return link(pairs, *more)
+
+    monkeypatch.setattr(near_copies, "_similar", similar)
+    assert {i for i, _ in rows(STAGES["simhash_near_dedup"](spark, docs, SF))} == {0, 1, 2, 3, 5}
+    # both groups of fingerprints were proposed first, and nothing was left to the lists
+    assert proposed[0] == 2 and not any(proposed[1:])
 
 
 def test_documents_with_benchmark_windows_go(spark, table):
