@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from quillmine.llm.common import ascii_lower, discard, own_folder, row_key, without, written
 from quillmine.session import cut_lineage
 
-#: Characters between words, once A-Z are lower case: ASCII that is neither a digit nor a letter.
-SEPARATOR = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The same words before lower-casing.
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: The ASCII characters between words, one by one: Java looks such a class up in a table, ranges are tried in turn.
+GAPS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+#: Characters between words: ASCII that is neither a digit nor a letter.
+SEPARATOR = f"[{GAPS}]+"
+#: The words.
+WORD = f"[^{GAPS}]+"
 WINDOW = 10
 #: How many lists are intersected one after the other, rarest first, before all others at once.
 RARE = 2
@@ -34,7 +36,14 @@ STRETCH = 16
 
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATOR, -1), lambda w: w != "")
+    return F.filter(_split(text), lambda w: w != "")
+
+
+def _split(text: Column) -> Column:
+    """The words, lower-cased; the first and the last part may be empty."""
+    whole = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(whole) == F.char_length(whole)
+    return F.split(F.when(plain, F.lower(whole)).otherwise(ascii_lower(whole)), SEPARATOR, -1)
 
 
 def windows(items: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -51,8 +60,10 @@ def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str =
     ``doc`` is the row key of ``key`` and text: repeated rows have the same postings.  The texts stay where
     they are; if the terms are many, Spark shuffles words instead of broadcasting them.
     """
-    rows = docs.select(row_key(key, text).alias("doc"), F.posexplode(words(F.col(text))).alias("pos", "word"))
-    return rows.join(terms, "word").select("term", "doc", "pos")
+    # an empty first part is no word: the others stand one place earlier
+    skipped = F.coalesce(F.col(text), F.lit("")).rlike(f"^{SEPARATOR}").cast("int")
+    rows = docs.select(row_key(key, text).alias("doc"), skipped.alias("skipped"), F.posexplode(_split(F.col(text))).alias("at", "word"))
+    return rows.join(terms.where("word <> ''"), "word").select("term", "doc", (F.col("at") - F.col("skipped")).alias("pos"))
 
 
 def occurrences(index: DataFrame, phrases: DataFrame, rare: int = RARE, scratch: str | None = None) -> DataFrame:
@@ -135,11 +146,11 @@ def near_places(index: DataFrame, lines: DataFrame, size: int = WINDOW, misses:
     agreed = written(agreed, "decontaminate-agreed", scratch)
     sought = agreed.join(parts, "line").where("at BETWEEN low AND high").select(
         "line", "doc", "s", "at", "term", F.explode(F.transform(late, lambda i: F.col("s") + F.col("at") + i)).alias("pos"))
-    # the stretches of documents to look at: written, so that Spark knows how few they are and can filter the index by a broadcast
+    # the stretches of documents to look at: they grow with the documents, so they are never broadcast
     stretches = F.sequence(F.floor((F.col("s") + low) / STRETCH), F.floor((F.col("s") + high + slop) / STRETCH))
     held = written(agreed.select("doc", F.explode(stretches).alias("stretch")).distinct(), "decontaminate-stretches", scratch)
     there = index.withColumn("stretch", F.floor(F.col("pos") / STRETCH))
-    there = there.join(held, ["doc", "stretch"], "left_semi").select("doc", "pos", "term").distinct()
+    there = there.join(held.hint("merge"), ["doc", "stretch"], "left_semi").select("doc", "pos", "term").distinct()
     # a met word is one number: its place in the item, and how late it is
     code = F.col("at").cast("bigint") * slop + F.col("pos") - F.col("s")
     met = sought.join(there, ["doc", "pos", "term"]).groupBy("line", "doc", "s").agg(F.sort_array(F.collect_set(code)).alias("met"))

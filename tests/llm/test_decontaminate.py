@@ -126,3 +126,20 @@ def test_query(spark, folder, texts):
     rows = op3_decontamination(spark, folder).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows) == want
     assert any(r.contaminated for r in rows)
+
+
+def test_stretches_are_never_broadcast(spark):
+    # they grow with the documents; the index meets them by sorting at every size
+    index = spark.createDataFrame([(t, 1, t) for t in range(12)], "term bigint, doc bigint, pos int")
+    lines = spark.createDataFrame([(5, list(range(12)))], "line bigint, terms array<bigint>")
+    found = dc.near_places(index, lines)
+    assert "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.pos for r in found.collect()} == set(range(12))
+
+
+def test_words_after_a_leading_gap(spark):
+    docs = spark.createDataFrame([(1, "..one Two"), (2, "one two"), (3, ""), (4, None), (5, "É ONE é")], "doc_id bigint, text string")
+    terms = spark.createDataFrame([("one", 1), ("two", 2), ("é", 3), ("É", 4), ("", 5)], "word string, term bigint")
+    keys = {r.k: r.doc_id for r in docs.select("doc_id", dc.row_key("doc_id", "text").alias("k")).collect()}
+    got = sorted((keys[r.doc], r.pos, r.term) for r in dc.postings(docs, terms).collect())
+    assert got == [(1, 0, 1), (1, 1, 2), (2, 0, 1), (2, 1, 2), (5, 0, 4), (5, 1, 1), (5, 2, 3)]
