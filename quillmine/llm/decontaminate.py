@@ -22,8 +22,6 @@ from quillmine.session import cut_lineage
 GAPS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
 #: Characters between words: ASCII that is neither a digit nor a letter.
 SEPARATOR = f"[{GAPS}]+"
-#: The words.
-WORD = f"[^{GAPS}]+"
 WINDOW = 10
 #: How many lists are intersected one after the other, rarest first, before all others at once.
 RARE = 2
@@ -36,14 +34,9 @@ STRETCH = 16
 
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
-    return F.filter(_split(text), lambda w: w != "")
-
-
-def _split(text: Column) -> Column:
-    """The words, lower-cased; the first and the last part may be empty."""
     whole = F.coalesce(text, F.lit(""))
     plain = F.octet_length(whole) == F.char_length(whole)
-    return F.split(F.when(plain, F.lower(whole)).otherwise(ascii_lower(whole)), SEPARATOR, -1)
+    return F.filter(F.split(F.when(plain, F.lower(whole)).otherwise(ascii_lower(whole)), SEPARATOR, -1), lambda w: w != "")
 
 
 def windows(items: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -60,10 +53,11 @@ def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str =
     ``doc`` is the row key of ``key`` and text: repeated rows have the same postings.  The texts stay where
     they are; if the terms are many, Spark shuffles words instead of broadcasting them.
     """
-    # an empty first part is no word: the others stand one place earlier
-    skipped = F.coalesce(F.col(text), F.lit("")).rlike(f"^{SEPARATOR}").cast("int")
-    rows = docs.select(row_key(key, text).alias("doc"), skipped.alias("skipped"), F.posexplode(_split(F.col(text))).alias("at", "word"))
-    return rows.join(terms.where("word <> ''"), "word").select("term", "doc", (F.col("at") - F.col("skipped")).alias("pos"))
+    # key and words are made below the explode: beside it they would be made anew for every word.  The outer form adds only
+    # a null word to a text of none, which joins nothing, and keeps Spark from cutting the texts twice to filter those out
+    cut = docs.select(row_key(key, text).alias("doc"), words(F.col(text)).alias("words"))
+    rows = cut.select("doc", F.posexplode_outer("words").alias("pos", "word"))
+    return rows.join(terms, "word").select("term", "doc", "pos")
 
 
 def occurrences(index: DataFrame, phrases: DataFrame, rare: int = RARE, scratch: str | None = None) -> DataFrame:
@@ -233,7 +227,8 @@ def with_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     clean = without(docs, "n_words", *names)
     found = found.select(F.col("text_hash").alias("__hash"), *(F.col(n).alias(f"__{n}") for n in names))
     # made below the join: texts that nobody selects are not moved
-    count = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), SEPARATOR, -1)
+    count = F.size(F.filter(parts, lambda w: w != "")).cast("bigint")
     counted = clean.withColumns({"__row": row_key(key, text), "n_words": count})
     joined = counted.join(found, F.col("__row") == F.col("__hash"), "left")
     return joined.select(

@@ -143,3 +143,12 @@ def test_words_after_a_leading_gap(spark):
     keys = {r.k: r.doc_id for r in docs.select("doc_id", dc.row_key("doc_id", "text").alias("k")).collect()}
     got = sorted((keys[r.doc], r.pos, r.term) for r in dc.postings(docs, terms).collect())
     assert got == [(1, 0, 1), (1, 1, 2), (2, 0, 1), (2, 1, 2), (5, 0, 4), (5, 1, 1), (5, 2, 3)]
+
+
+def test_keys_are_made_once_a_text_and_not_once_a_word(spark):
+    docs = spark.createDataFrame([(1, "one two")], "doc_id bigint, text string")
+    terms = spark.createDataFrame([("one", 1)], "word string, term bigint")
+    plan = dc.postings(docs, terms)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert not any(f in above.lower() for f in ("xxhash64", "split", "rlike"))
+    assert below.count("xxhash64") == 1 and below.count("split(") == 1
