@@ -36,7 +36,15 @@ def without_copies(pages: DataFrame) -> DataFrame:
     moved; a long list falls back to a shuffle.  Null URLs come last and are kept like any other; a null
     text is no copy of another.
     """
-    signed = pages.withColumn("content_signature", content_signature(F.col("markdown")))
+    return _one_each(_signed(pages)).select(*pages.columns)
+
+
+def _signed(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("content_signature", content_signature(F.col("markdown")))
+
+
+def _one_each(signed: DataFrame) -> DataFrame:
+    """One row of every ``content_signature``, as ``without_copies`` describes; none is made anew here."""
     order = F.struct(F.col("page_url").isNull().alias("last"), F.col("page_url").alias("url"))
     repeated = signed.select("content_signature", order.alias("row")).groupBy("content_signature").agg(
         F.min("row").alias("keeper"), F.count("*").alias("n")
@@ -44,7 +52,7 @@ def without_copies(pages: DataFrame) -> DataFrame:
     once = signed.join(repeated, "content_signature", "left_anti")
     again = signed.join(repeated, "content_signature").filter(F.col("page_url").eqNullSafe(F.col("keeper.url")))
     rest = again.dropDuplicates(["content_signature"])
-    return once.select(*pages.columns).unionByName(rest.select(*pages.columns))
+    return once.select(*signed.columns).unionByName(rest.select(*signed.columns))
 
 
 def unseen_pages(pages: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -52,9 +60,9 @@ def unseen_pages(pages: DataFrame, corpus: DataFrame) -> DataFrame:
 
     Only these are chunked and embedded; corpus(content_signature).
     """
-    signed = pages.withColumn("content_signature", content_signature(F.col("markdown")))
+    signed = _signed(pages)
     fresh = signed.join(corpus.select("content_signature").distinct(), "content_signature", "left_anti")
-    return without_copies(fresh.select(*signed.columns))
+    return _one_each(fresh.select(*signed.columns))
 
 
 def answer_records(
