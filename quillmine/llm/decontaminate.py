@@ -36,7 +36,7 @@ def words(text: Column) -> Column:
     """The words of a text; none for null."""
     whole = F.coalesce(text, F.lit(""))
     plain = F.octet_length(whole) == F.char_length(whole)
-    return F.filter(F.split(F.when(plain, F.lower(whole)).otherwise(ascii_lower(whole)), SEPARATOR, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.when(plain, F.lower(whole)).otherwise(ascii_lower(whole)), SEPARATOR, -1), "")
 
 
 def windows(items: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -128,9 +128,9 @@ def near_places(index: DataFrame, lines: DataFrame, size: int = WINDOW, misses:
     anchors = cut.select("line", F.inline(rarest)).where("n > 0").select("line", "at", "term").distinct()
     anchors = written(anchors, "decontaminate-anchors", scratch)
     # a word on diagonal d can belong to places d - slop to d; two different anchors must agree on one
-    late = F.array(*(F.lit(i) for i in range(slop + 1)))
+    late = range(slop + 1)
     proposed = index.join(anchors, "term").select(
-        "line", "doc", "at", F.explode(F.transform(late, lambda i: F.col("pos") - F.col("at") - i)).alias("s"))
+        "line", "doc", "at", F.explode(F.array(*(F.col("pos") - F.col("at") - i for i in late))).alias("s"))
     agreed = proposed.groupBy("line", "doc", "s").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"))
     # where there are only two, both are in the window: the words sought lie around both
     two, low, high = F.col("n") == 2, F.col("low"), F.col("high")
@@ -139,7 +139,7 @@ def near_places(index: DataFrame, lines: DataFrame, size: int = WINDOW, misses:
         (F.when(two, low).otherwise(high) + size - 1).alias("high"))
     agreed = written(agreed, "decontaminate-agreed", scratch)
     sought = agreed.join(parts, "line").where("at BETWEEN low AND high").select(
-        "line", "doc", "s", "at", "term", F.explode(F.transform(late, lambda i: F.col("s") + F.col("at") + i)).alias("pos"))
+        "line", "doc", "s", "at", "term", F.explode(F.array(*(F.col("s") + F.col("at") + i for i in late))).alias("pos"))
     # the stretches of documents to look at: they grow with the documents, so they are never broadcast
     stretches = F.sequence(F.floor((F.col("s") + low) / STRETCH), F.floor((F.col("s") + high + slop) / STRETCH))
     held = written(agreed.select("doc", F.explode(stretches).alias("stretch")).distinct(), "decontaminate-stretches", scratch)
@@ -228,7 +228,7 @@ def with_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     found = found.select(F.col("text_hash").alias("__hash"), *(F.col(n).alias(f"__{n}") for n in names))
     # made below the join: texts that nobody selects are not moved
     parts = F.split(F.coalesce(F.col(text), F.lit("")), SEPARATOR, -1)
-    count = F.size(F.filter(parts, lambda w: w != "")).cast("bigint")
+    count = F.size(F.array_remove(parts, "")).cast("bigint")
     counted = clean.withColumns({"__row": row_key(key, text), "n_words": count})
     joined = counted.join(found, F.col("__row") == F.col("__hash"), "left")
     return joined.select(
