@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -29,7 +29,9 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 class AcceptAfter(StatefulProcessor):
     """Per key: accept an event when the last accepted one is ``seconds`` old or has other text.
 
-    State is one row per key.  A timer drops it once it can no longer reject anything.
+    State is one row per key.  A timer drops it once it can no longer reject anything.  Keys are many and their
+    events few, so rows are plain (no frame per key), and a key talks to its state as little as can be: the one
+    timer's time follows from the state, so timers are not listed.
     """
 
     def __init__(self, seconds: float, compare_value: bool):
@@ -40,41 +42,51 @@ class AcceptAfter(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at long, value string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        state = self.last.get() if self.last.exists() else None
-        at, value = (state[0], state[1]) if state else (None, None)
+    def due(self, at: int) -> int:
+        """The timer's time for a last accepted event, in milliseconds."""
+        return (at + self.micros) // 1000 + 1
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # null times and numbers come last
+        batch = sorted(((row.at is None, row.at or 0, row.seq is None, row.seq or 0, i, row.value) for i, row in enumerate(rows)))
+        state = self.last.get()
+        before = at = state[0] if state else None
+        value = state[1] if state else None
         taken = []
-        for row in batch.itertuples(index=False):
-            now = int(row.ts.value // 1000)
+        for timeless, now, unnumbered, seq, _, text in batch:
+            if timeless:
+                now = NO_TIME
             fresh = at is None or now - at >= self.micros
-            if fresh or (self.compare_value and row.value != value):
-                at, value = now, row.value
-                taken.append((key[0], row.value, row.ts, row.seq))
+            if fresh or (self.compare_value and text != value):
+                at, value = now, text
+                taken.append(Row(key=key[0], value=text, at=None if timeless else now, seq=None if unnumbered else seq))
         if taken:
             self.last.update((at, value))
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-            self.handle.registerTimer((at + self.micros) // 1000 + 1)
-        yield pd.DataFrame(taken, columns=["key", "value", "ts", "seq"])
+            if before is not None:
+                self.handle.deleteTimer(self.due(before))
+            self.handle.registerTimer(self.due(at))
+        return iter(taken)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.last.clear()
-        yield pd.DataFrame(columns=["key", "value", "ts", "seq"])
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
+#: Stands for a null time in state: before all others.
+NO_TIME = -(1 << 63) // 1000
+
+
 def _accept(events: DataFrame, seconds: float, compare_value: bool, lateness: str) -> DataFrame:
     return (
         events.select("key", "value", F.col("ts").cast("timestamp").alias("ts"), "seq")
         .withWatermark("ts", lateness)
+        .withColumn("at", F.unix_micros("ts"))
         .groupBy("key")
-        .transformWithStateInPandas(
-            AcceptAfter(seconds, compare_value), "key string, value string, ts timestamp, seq long",
-            "append", "eventTime",
-        )
+        .transformWithState(AcceptAfter(seconds, compare_value), "key string, value string, at long, seq long", "append", "eventTime")
+        .select("key", "value", F.timestamp_micros("at").alias("ts"), "seq")
     )
 
 

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillmine.checks import all_checked
@@ -110,3 +111,39 @@ def test_stream_ingest_reads_a_file_or_a_folder(spark, tmp_path, files):
     spark.range(3).write.parquet(str(tmp_path / "part.parquet"))
     got = all_checked()["stream_ingest"].build(spark, str(tmp_path))
     assert sorted(r.page_url for r in got.collect()) == [url for _, url, _ in rows]
+
+
+class Kept:
+    """A key's state and timers that note what is asked of them."""
+
+    def __init__(self):
+        self.calls, self.state, self.timers = [], None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.state
+
+    def update(self, value):
+        self.calls.append("update")
+        self.state = value
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+
+def test_a_key_has_one_timer_and_asks_its_state_once():
+    kept, job = Kept(), sj.AcceptAfter(5, False)
+    job.init(kept)
+    rows = [Row(key="a", value="", at=at, seq=seq) for at, seq in ((9_000_000, 4), (None, 5), (1_000_000, 2), (1_000_000, 1), (6_000_000, 3))]
+    assert [(r.at, r.seq) for r in job.handleInputRows(("a",), iter(rows), None)] == [(1_000_000, 1), (6_000_000, 3)]
+    assert kept.calls == ["get", "update", "register"] and kept.timers == {11_001}
+    assert [r.seq for r in job.handleInputRows(("a",), iter([Row(key="a", value="", at=11_000_000, seq=6)]), None)] == [6]
+    assert kept.calls[3:] == ["get", "update", "delete", "register"] and kept.timers == {16_001}
