@@ -139,3 +139,16 @@ def test_odd_chunks_and_questions(spark):
     assert got == [(1, 1, "u", 0.45), (1, 2, None, 0.35), (1, 3, "x", 0.35), (5, 1, None, 0.7), (5, 2, "u", 0.7), (5, 3, "x", 0.7)]
     assert indexed_topk(asked, chunks.limit(0)).count() == 0
     assert indexed_topk(asked.limit(0), chunks).count() == 0
+
+
+def test_shares_do_not_depend_on_how_many_hits_are_listed_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from quillmine.operators import corpus as cp
+
+    asked = [{"query_id": i, "query_terms": ["the", "of"] + ["a"] * (i % 2) + [f"w{i}"]} for i in range(7)]
+    sets = [["the", "w3"], None, [], ["of", "the", "a", "x"], ["x"], ["a", *(f"w{i}" for i in range(7))]] * 5
+    want = [[sum(w in row["query_terms"] for w in words or ()) / len(row["query_terms"]) for row in asked] for words in sets]
+    for cells in (1, 5, 1 << 20):
+        monkeypatch.setattr(cp, "CELLS", cells)
+        assert cp._Block(asked).shares(pa.array(sets, pa.list_(pa.string()))).tolist() == want
