@@ -28,6 +28,9 @@ def largest_k(policies: dict[str, dict] = rules.BUDGET_POLICIES) -> int:
 
 
 MAX_K = largest_k()
+#: Question terms that a page hands to each of its chunks at most, and questions whose terms are collected for it.
+ASKED_TERMS = 256
+ASKED_BY = 64
 
 
 def per_query() -> WindowSpec:
@@ -47,6 +50,26 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", tx.token_set(F.col("question")).alias("query_terms"))
 
 
+def asked_terms(questions: DataFrame, profiles: DataFrame, most: int = ASKED_TERMS) -> DataFrame:
+    """(page_url, asked): the terms that the questions of a page's baskets ask for, in one string; one row per page.
+
+    Overlaps count question terms only, so no other term of the page's chunks needs to be kept.  ``asked`` is null
+    for a page with more than ``most`` such terms or ``ASKED_BY`` questions: its chunks keep all of theirs.
+    """
+    met = profiles.select("query_id", "page_url").join(query_terms(questions), "query_id")
+    # a page of a million baskets passes on a few questions only
+    some = met.withColumn("n", F.row_number().over(Window.partitionBy("page_url").orderBy("query_id"))).filter(F.col("n") <= ASKED_BY + 1)
+    found = some.groupBy("page_url").agg(F.count("*").alias("by"), F.array_distinct(F.flatten(F.collect_list("query_terms"))).alias("terms"))
+    few = (F.col("by") <= ASKED_BY) & (F.size("terms") <= most)
+    return found.select("page_url", F.when(few, F.array_join("terms", " ")).alias("asked"))
+
+
+def kept_terms(text: Column, asked: Column) -> Column:
+    """Term set of a chunk without the terms that ``asked_terms`` leaves out."""
+    terms = tx.token_set(text)
+    return F.when(asked.isNull(), terms).otherwise(F.array_intersect(terms, F.split(asked, " ")))
+
+
 def score_pairs(questions: DataFrame, profiles: DataFrame, terms: DataFrame) -> DataFrame:
     """Every (question, chunk) pair of the baskets with its term overlap."""
     asked = profiles.select(
@@ -145,12 +168,13 @@ def with_overlaps(candidates: DataFrame, questions: DataFrame, profiles: DataFra
         return candidates
     asked = candidates.join(query_terms(questions), "query_id")
     shares = profiles.select("query_id", "page_url", "title_overlap", "heading_overlap")
+    # terms end here: the next join moves numbers
     return (
         asked.join(terms, ["page_url", "chunk_index"])
-        .join(shares, ["query_id", "page_url"], "left")
         .withColumn("chunk_overlap", tx.overlap_share(F.col("query_terms"), F.col("chunk_terms")))
         .withColumn("has_terms", F.size("query_terms") > 0)
         .drop("query_terms", "chunk_terms")
+        .join(shares, ["query_id", "page_url"], "left")
     )
 
 

@@ -90,13 +90,14 @@ def answer_questions(
     planner = pg.planner_mode(questions, basket)
     walked = cut_lineage(dd.dedup_basket(pg.page_profiles(questions, basket, pg.page_features(pages), planner)))
     profiles = walked.filter(F.col("outcome") == "kept").drop("outcome", "walk")
-    used = pages.join(profiles.select("page_url").distinct(), "page_url", "left_semi")
-    chunks = ch.chunk_pages(used)
-    # one Python pass over the texts; everything below reads keys, terms and sizes
+    # one row of terms per page, so this is the semi join with the pages kept
+    used = pages.select("page_url", "title", "source_type", "markdown").join(rt.asked_terms(questions, profiles), "page_url")
+    chunks = ch.chunk_pages(used, carry=("asked",))
+    # one Python pass over the texts; everything below reads keys, sizes and the terms that a question can meet
     index = cut_lineage(chunks.select(
         "page_url", "chunk_index", "total_chunks", "source_type", "page_title",
         F.length("text").alias("n_chars"), ch.token_count(F.col("text"), token_counter).alias("tokens"),
-        tx.token_set(F.col("text")).alias("chunk_terms"),
+        rt.kept_terms(F.col("text"), F.col("asked")).alias("chunk_terms"),
     ))
     terms = index.select("page_url", "chunk_index", "chunk_terms")
 
@@ -117,7 +118,8 @@ def answer_questions(
         asked = ch.embed_questions(questions, encoder_factory=encoder_factory)
         routed = rt.route_candidates(rt.dense_candidates(asked, profiles, vectors, most), lexical)
     limit = policy.select("query_id", "max_candidates")
-    routed = routed.join(limit, "query_id").filter(F.col("rank") <= F.col("max_candidates")).drop("max_candidates")
+    # read twice, for the candidates and for the questions without any
+    routed = cut_lineage(routed.join(limit, "query_id").filter(F.col("rank") <= F.col("max_candidates")).drop("max_candidates"))
     spare = rt.priority_fallback(questions, routed, profiles, index, most).withColumn("strategy", F.lit("lexical-fallback"))
     found = routed.withColumn("no_match", F.lit(False)).unionByName(
         spare.join(limit, "query_id").filter(F.col("rank") <= F.col("max_candidates")).drop("max_candidates")

@@ -1,9 +1,17 @@
+import re
+import time
+from functools import partial
+
 import pytest
+from pyspark.sql import functions as F
 
 from quillmine import rules
+from quillmine.functions import text as tx
+from quillmine.operators import retrieve as rt
 from quillmine.operators.chunks import hashed_counts
 from quillmine.operators import responses as rs
 from quillmine.plans.answer import answer_questions, extend_corpus, extend_index, search_corpus, search_rows, search_stored
+from quillmine.session import CLEANUP_CONF, cut_lineage
 
 PAGES = [
     ("https://w.example.org/overview", "Billing overview", "confluence", "# Billing overview\n\nThe billing area serves shops and partners with invoices and reminders."),
@@ -124,3 +132,73 @@ def test_a_stored_index_finds_what_its_rows_do(spark, tmp_path):
     assert index.filter("term IS NULL").selectExpr("explode(urls)").count() == 3
     want = sorted(map(tuple, search_corpus(questions, first.unionByName(more.filter("page_url = 'u3'"))).collect()))
     assert sorted(map(tuple, search_stored(questions, again).collect())) == want and want
+
+
+def test_chunks_keep_the_terms_that_their_questions_ask_for(spark, monkeypatch):
+    """Overlaps are the same as over all terms, for pages with few question terms and with many."""
+    schema = "query_id long, question string"
+    questions = spark.createDataFrame([(1, "The billing TIMEOUT, a/b-c?"), (2, None), (3, "?"), (4, "w1 ww2 ww3 ww4 billing"), (4, "twice asked")], schema)
+    shares = [("u1", 1), ("u1", 4), ("u2", 2), ("u2", 3), ("u3", 4), ("u1", 1), ("u4", 1)]
+    profiles = spark.createDataFrame([(q, u, i, 0.5, 0.0) for i, (u, q) in enumerate(shares)],
+                                     "query_id long, page_url string, original_index int, title_overlap double, heading_overlap double")
+    found = {r.page_url: r.asked for r in rt.asked_terms(questions, profiles, 4).collect()}
+    assert found["u1"] is None and found["u3"] is None and found["u2"] == ""
+    assert sorted(found["u4"].split(" ")) == ["a/b-c", "billing", "timeout"]
+    texts = [("u1", 0, "billing timeout ww2 more"), ("u2", 0, "billing"), ("u3", 0, "asked ww3 x"), ("u4", 0, "Timeout of a/b-c more words"), ("u4", 1, "none")]
+    chunks = spark.createDataFrame(texts, "page_url string, chunk_index long, text string")
+    kept = chunks.join(rt.asked_terms(questions, profiles, 4), "page_url").select("page_url", "chunk_index", rt.kept_terms(F.col("text"), F.col("asked")).alias("chunk_terms"))
+    assert {(r.page_url, r.chunk_index): r.chunk_terms for r in kept.collect()} == {
+        ("u1", 0): ["billing", "timeout", "ww2", "more"], ("u2", 0): [], ("u3", 0): ["asked", "ww3"], ("u4", 0): ["timeout", "a/b-c"], ("u4", 1): []}
+    want = rt.score_pairs(questions, profiles, chunks.select("page_url", "chunk_index", tx.token_set(F.col("text")).alias("chunk_terms")))
+    assert sorted(map(str, rt.score_pairs(questions, profiles, kept).collect())) == sorted(map(str, want.collect()))
+    monkeypatch.setattr(rt, "ASKED_BY", 1)
+    assert {r.page_url: r.asked for r in rt.asked_terms(questions, profiles).collect() if r.page_url != "u4"} == dict.fromkeys(["u1", "u2", "u3"])
+
+
+def test_an_answer_is_the_same_over_all_terms(spark, monkeypatch):
+    pages = spark.createDataFrame(PAGES, "page_url string, title string, source_type string, markdown string").withColumn("asked", F.lit("the caller's"))
+    questions = spark.createDataFrame([(1, "What is the validation timeout?", "answer"), (2, "zzz", "critique")], "query_id long, question string, mode string")
+    basket = spark.createDataFrame(
+        [(q, p[0], i, "default") for q in (1, 2) for i, p in enumerate(PAGES)], "query_id long, page_url string, original_index int, context_role string")
+
+    def run():
+        result = answer_questions(questions, basket, pages)
+        return [sorted(str(r.asDict()) for r in frame.collect()) for frame in (result.candidates, result.final, result.stats, result.context)]
+
+    few = run()
+    monkeypatch.setattr(rt, "asked_terms", partial(rt.asked_terms, most=0))
+    assert run() == few
+
+
+def test_terms_end_where_the_overlaps_are_known(spark):
+    """The join with the profiles moves numbers, not term sets."""
+    questions = spark.createDataFrame([(1, "validation timeout")], "query_id long, question string")
+    profiles = spark.createDataFrame([(1, "u1", 0.5, 0.0)], "query_id long, page_url string, title_overlap double, heading_overlap double")
+    found = spark.createDataFrame([(1, "u1", 0, 0.4, 1)], "query_id long, page_url string, chunk_index long, score double, rank int")
+    terms = spark.createDataFrame([("u1", 0, ["timeout", "more"])], "page_url string, chunk_index long, chunk_terms array<string>")
+    out = rt.with_overlaps(found, questions, profiles, terms)
+    assert out.first().asDict() == {"query_id": 1, "page_url": "u1", "chunk_index": 0, "score": 0.4, "rank": 1, "chunk_overlap": 0.5, "has_terms": True,
+                                    "title_overlap": 0.5, "heading_overlap": 0.0}
+    plan = out._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    assert "LeftOuter" in str(plan.joinType()) and not re.search("(query|chunk)_terms", plan.output().mkString(" "))
+
+
+def test_no_shuffle_file_outlives_its_checkpoint(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(CLEANUP_CONF)
+    held = spark.range(1000).repartition(5).groupBy((F.col("id") % 10).alias("k")).count()
+    cut = cut_lineage(held)
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert cut.count() == held.count() == 10
+    assert spark.conf.get(CLEANUP_CONF) == setting
