@@ -145,7 +145,8 @@ def answer_questions(
     texts = shown.select("page_url", "chunk_index", "total_chunks", "source_type", "page_title", "text")
     readable = cut_lineage(final.join(texts, ["page_url", "chunk_index"]))
     claims = cut_lineage(cf.claims(cf.sentences(readable)))
-    stats = sl.retrieval_stats(policy, candidates, filtered, final, basket)
+    # a row per question, read by itself and for its confidence
+    stats = cut_lineage(sl.retrieval_stats(policy, candidates, filtered, final, basket))
     totals = index.groupBy("page_url").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
     chunk_stats = profiles.select("query_id", "page_url").join(totals, "page_url").groupBy("query_id").agg(
         F.sum("n").alias("total_chunks"), F.sum("chars").alias("total_chars"), F.count("*").alias("pages_count")

@@ -202,3 +202,13 @@ def test_no_shuffle_file_outlives_its_checkpoint(spark):
     assert not shuffles() - before
     assert cut.count() == held.count() == 10
     assert spark.conf.get(CLEANUP_CONF) == setting
+
+
+def test_statistics_are_made_once(spark):
+    """Readers of the statistics and of the confidence find rows, not the joins that make them."""
+    pages = spark.createDataFrame(PAGES[:2], "page_url string, title string, source_type string, markdown string")
+    questions = spark.createDataFrame([(1, "validation timeout", "answer")], "query_id long, question string, mode string")
+    basket = spark.createDataFrame([(1, p[0], i, "default") for i, p in enumerate(PAGES[:2])], "query_id long, page_url string, original_index int, context_role string")
+    result = answer_questions(questions, basket, pages)
+    joins = [str(frame._jdf.queryExecution().analyzed().toString()).count("Join ") for frame in (result.stats, result.confidence)]
+    assert joins == [0, 1] and result.stats.first().retrieved_chunks
